@@ -1,0 +1,5 @@
+"""No streaming operators.
+
+The computations covered here are all bounded: scoring replays a closed window
+with a frozen model, and chunked readers are ordinary scans.
+"""
