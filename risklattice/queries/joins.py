@@ -94,12 +94,12 @@ def j08(spark, d):
 @query("j09_attach_sensor_speed", sql("detector", """
     select d.orderkey, d.line, d.partkey, d.x, round(s.speed, 6) as speed
     from detector d left join (select dir, cast(floor(x) as bigint) as p,
-         cast(sum(cast(q as decimal(18,2))) as double) / count(*) as speed from detector
+         cast(sum(cast(q as decimal(18,4))) as double) / count(*) as speed from detector
          where x < 40 group by all) s on d.dir = s.dir and cast(floor(d.x) as bigint) = s.p"""))
 def j09(spark, d):
     det = V.detector(spark, d)
     speed = det.filter("x < 40").groupBy("dir", F.floor("x").cast("long").alias("pos")).agg(
-        r6(F.sum(V.money("q")).cast("double") / F.count(F.lit(1))).alias("speed"))
+        r6(F.sum(F.col("q").cast("decimal(18,4)")).cast("double") / F.count(F.lit(1))).alias("speed"))
     out = J.attach_sensor_speed(det, speed, ["dir"], "x", "pos")
     return out.select("orderkey", "line", "partkey", "x", "speed")
 
@@ -164,7 +164,7 @@ INCIDENTS_SQL = """
       select * from w),
     incident as (select w.dir, w.num, min(f.t) as tmin, max(f.t) as tmax, min(f.lo) as pkmin, max(f.hi) as pkmax
                  from walk w join foot f on f.dir = w.dir and f.i = w.i group by w.dir, w.num),
-    incidents as (select dir, num, dir * 1000000000 + num - 1 as incident_id, tmin, tmax, pkmin, pkmax from incident)"""
+    incidents as (select dir, num, row_number() over (order by dir, tmin) - 1 as incident_id, tmin, tmax, pkmin, pkmax from incident)"""
 
 
 def incidents(spark, d):
