@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import episodes as EP
 from ..operators import joins as J
+from ..session import materialise
 from . import views as V
 from .aggregates import rounded
 from .joins import INCIDENTS_SQL, incidents
@@ -184,17 +185,16 @@ def _card(name, thr):
       round(count(*) filter (pb >= {thr} and y = 1) / cast(greatest(count(*) filter (y = 1), 1) as double), 6) as interval_recall,
       (select count(*) from incidents) as incidents, count(distinct incident_id) filter (pb >= {thr}) as incidents_caught,
       count(distinct incident_id) filter (pb >= {thr} and mins < 0) as incidents_caught_before_onset,
-      (select count(*) from (select dir, pos, sum(nw) over (partition by dir, pos order by ts rows unbounded preceding) as e from
-         (select *, case when epoch_us(ts) // 1000000 - epoch_us(lag(ts) over (partition by dir, pos order by ts)) // 1000000 <= 36000 then 0 else 1 end as nw from a where pb >= {thr})
-       group by dir, pos, ts, nw) q where false) + (select sum(case when epoch_us(ts) // 1000000 - epoch_us(p) // 1000000 <= 36000 then 0 else 1 end)
+      (select sum(case when epoch_us(ts) // 1000000 - epoch_us(p) // 1000000 <= 36000 then 0 else 1 end)
        from (select ts, lag(ts) over (partition by dir, pos order by ts) as p from a where pb >= {thr})) as episodes from a"""
 
 
 @query("l11_event_scorecard", sql("located scores", ASSIGNED_SQL + "select tier, threshold, interval_precision, interval_recall, incidents, incidents_caught, "
        "incidents_caught_before_onset, cast(episodes as bigint) as episodes from (" + _card("dispatch", 0.9) + " union all " + _card("advisory", 0.5) + ")"))
 def l11(spark, d):
-    pred = assigned(spark, d)
-    out = EP.event_scorecard(pred, incidents(spark, d), {"dispatch": 0.9, "advisory": 0.5}, LOC, "t", "y", "pb", 300)
+    pred = materialise(assigned(spark, d), "scored-cells")
+    found = materialise(incidents(spark, d), "incidents")
+    out = EP.event_scorecard(pred, found, {"dispatch": 0.9, "advisory": 0.5}, LOC, "t", "y", "pb", 300)
     out = out.select("tier", "threshold", "interval_precision", "interval_recall", "incidents", "incidents_caught",
                      "incidents_caught_before_onset", "episodes")
     return rounded(out, "interval_precision", "interval_recall")
