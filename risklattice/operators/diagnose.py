@@ -2,8 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.ml import Model
+from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Correlation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions.ordered import exact_quantiles, mix, ordered_prefix, running, sample_rank
+from .aggregate import to_long
+from .evaluate import average_precision
 
 
 def outcome_class(df: DataFrame, y: str, score: str, threshold: float, out: str = "outcome") -> DataFrame:
@@ -11,3 +24,322 @@ def outcome_class(df: DataFrame, y: str, score: str, threshold: float, out: str
     alarm, pos = F.col(score) >= threshold, F.col(y) == 1
     return df.withColumn(
         out, F.when(alarm & pos, "TP").when(alarm, "FP").when(pos, "FN").otherwise("TN"))
+
+
+def feature_audit(
+    df: DataFrame, features: Sequence[str], y: str, min_std: float = 0.01, max_zero: float = 0.95
+) -> DataFrame:
+    """Spread, zero and null shares, distinct values and class means per feature.
+
+    ``low_variance`` marks features that barely vary or are almost always zero.
+    """
+    long = to_long(df, features, [y])
+    values = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("_c"))
+    distinct = values.groupBy("column").agg(F.count("value").alias("n_unique"))
+    v, n = F.col("value"), F.count(F.lit(1))
+    stats = long.groupBy("column").agg(
+        F.stddev_samp(v).alias("std"),
+        (F.count(F.when(v == 0, 1)) / n).alias("zero_rate"),
+        (F.count(F.when(v.isNull(), 1)) / n).alias("null_rate"),
+        F.avg(F.when(F.col(y) == 1, v)).alias("mean_pos"),
+        F.avg(F.when(F.col(y) == 0, v)).alias("mean_neg"),
+    )
+    return stats.join(distinct, "column").select(
+        F.col("column").alias("feature"), "std", "zero_rate", "null_rate", "n_unique", "mean_pos", "mean_neg",
+        F.abs(F.col("mean_pos") - F.col("mean_neg")).alias("mean_gap"),
+        ((F.col("std") < min_std) | (F.col("zero_rate") > max_zero)).alias("low_variance"),
+    )
+
+
+def spearman(df: DataFrame, features: Sequence[str], high: float = 0.7) -> DataFrame:
+    """Rank correlation of every pair of features and whether it is high.
+
+    Runs a job; only the features × features matrix reaches the driver.
+    """
+    filled = df.select(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features])
+    vectors = VectorAssembler(inputCols=list(features), outputCol="_v").transform(filled).select("_v")
+    matrix = Correlation.corr(vectors, "_v", "spearman").first()[0].toArray()
+    rows = [
+        (features[i], features[j], float(matrix[i, j]), bool(abs(matrix[i, j]) > high))
+        for i in range(len(features)) for j in range(i + 1, len(features))
+    ]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, r double, high boolean")
+
+
+def cohens_d(df: DataFrame, features: Sequence[str], first: Column, second: Column, kind: str = "absolute") -> DataFrame:
+    """Standardised difference of two groups of rows per feature.
+
+    absolute: |difference| over the root mean of the population variances.
+    pooled: signed difference over the pooled sample deviation, null below two rows.
+    """
+    marked = df.withColumn("_g", F.when(first, 1).when(second, 2)).filter("_g is not null")
+    v = F.col("value")
+    a, b = F.when(F.col("_g") == 1, v), F.when(F.col("_g") == 2, v)
+    stats = to_long(marked, features, ["_g"]).groupBy("column").agg(
+        F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"), F.count(a).alias("n_a"), F.count(b).alias("n_b"),
+        F.var_pop(a).alias("_pa"), F.var_pop(b).alias("_pb"), F.var_samp(a).alias("_sa"), F.var_samp(b).alias("_sb"),
+    )
+    gap = F.col("mean_a") - F.col("mean_b")
+    if kind == "absolute":
+        d = F.abs(gap) / (F.sqrt((F.col("_pa") + F.col("_pb")) / 2) + 1e-9)
+    else:
+        dof = F.greatest(F.lit(1), F.col("n_a") + F.col("n_b") - 2)
+        sd = F.sqrt(((F.col("n_a") - 1) * F.col("_sa") + (F.col("n_b") - 1) * F.col("_sb")) / dof)
+        d = F.when((F.col("n_a") >= 2) & (F.col("n_b") >= 2) & (sd > 0), gap / sd)
+    return stats.select(F.col("column").alias("feature"), d.alias("d"), "mean_a", "mean_b", "n_a", "n_b")
+
+
+def ks_stat(df: DataFrame, features: Sequence[str], first: Column, second: Column) -> DataFrame:
+    """Largest gap between the two groups' cumulative shares per feature."""
+    marked = df.withColumn("_g", F.when(first, 1).when(second, 2)).filter("_g is not null")
+    long = to_long(marked, features, ["_g"]).filter("value is not null").select(
+        "column", "value", (F.col("_g") == 1).cast("long").alias("_a"), (F.col("_g") == 2).cast("long").alias("_b"))
+    steps = ordered_prefix(long, ["column"], "value", ["_a", "_b"])
+    gap = F.abs(F.col("cum__a") / F.col("tot__a") - F.col("cum__b") / F.col("tot__b"))
+    return steps.groupBy(F.col("column").alias("feature")).agg(F.max(gap).alias("ks"))
+
+
+def outcome_means(df: DataFrame, features: Sequence[str], outcome: str = "outcome") -> DataFrame:
+    """Mean of each feature and rows per outcome."""
+    return df.groupBy(outcome).agg(F.count(F.lit(1)).alias("n"), *[F.avg(f).alias(f) for f in features])
+
+
+def clipped_hist(df: DataFrame, value: str, bins: int = 30, low: float = 0.01, high: float = 0.99, by: Sequence[str] = ()) -> DataFrame:
+    """Equal-width histogram after clipping to two quantiles of the whole column."""
+    ends = exact_quantiles(df, [], value, {"lo": low, "hi": high})
+    lo, hi = ends.select("lo").scalar(), ends.select("hi").scalar()
+    placed = df.select(*by, F.least(F.greatest(F.col(value), lo), hi).alias("_x"), lo.alias("_lo"), hi.alias("_hi"))
+    width = (F.col("_hi") - F.col("_lo")) / bins
+    spot = F.least(F.floor((F.col("_x") - F.col("_lo")) / width), F.lit(bins - 1)).cast("int")
+    return placed.filter("_x is not null").groupBy(*by, spot.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def standardise_vectors(df: DataFrame, vec: str) -> DataFrame:
+    """Centre and scale each dimension by its population deviation."""
+    dims = df.select(F.posexplode(vec).alias("_d", "_x")).groupBy("_d").agg(
+        F.avg("_x").alias("m"), F.stddev_pop("_x").alias("s"))
+    table = dims.agg(F.sort_array(F.collect_list(F.struct("_d", "m", F.when(F.col("s") == 0, 1.0).otherwise(F.col("s")).alias("s"))))).scalar()
+    return df.withColumn("_st", table).withColumn(
+        vec, F.zip_with(vec, "_st", lambda x, p: (x - p["m"]) / p["s"])).drop("_st")
+
+
+def nearest(
+    queries: DataFrame,
+    points: DataFrame,
+    key: str,
+    vec: str,
+    k: int = 1,
+    skip_self: bool = False,
+    pivots: int = 32,
+    rows_per_block: int = 20_000,
+    seed: int = 0,
+) -> DataFrame:
+    """Exact ``k`` nearest points of every query: (key, neighbour, distance, rank).
+
+    Points are grouped by their nearest of a few pivots. The distances of a
+    query to the pivots bound its distance to each group from both sides, so it
+    visits only groups that can hold one of its neighbours, and each visit
+    returns at most ``k`` rows. Large groups and large sets of queries are cut
+    into blocks of bounded size. Two small jobs draw the pivots and count the
+    groups; ties go to the smaller neighbour key.
+    """
+    spark = points.sparkSession
+    drawn = sample_rank(points.withColumn("_h", mix(key, seed)), "_h", key, F.lit(pivots)).select(vec).collect()
+    if not drawn:
+        return spark.createDataFrame([], f"{key} long, neighbour long, distance double, rank int")
+    centres = np.array([r[0] for r in drawn], dtype=float)
+    need = k + (1 if skip_self else 0)
+
+    def to_pivots(column: pd.Series) -> np.ndarray:
+        x = np.stack(column.to_numpy()).astype(float)
+        return np.sqrt(np.maximum(((x[:, None, :] - centres[None]) ** 2).sum(axis=2), 0))
+
+    def place(frames):
+        for pdf in frames:
+            if len(pdf):
+                for i in range(0, len(pdf), 2048):
+                    part = pdf.iloc[i : i + 2048]
+                    dist = to_pivots(part[vec])
+                    cell = dist.argmin(axis=1)
+                    yield pd.DataFrame({key: part[key], vec: part[vec], "_cell": cell, "_d": dist[np.arange(len(part)), cell]})
+
+    placed = points.select(key, vec).mapInPandas(place, f"{key} long, {vec} array<double>, _cell int, _d double")
+    groups = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.min("_d").alias("lo"), F.max("_d").alias("hi")).toPandas()
+    cells, count = groups["_cell"].to_numpy(), groups["n"].to_numpy()
+    low, high = groups["lo"].to_numpy(), groups["hi"].to_numpy()
+    blocks = np.maximum(1, np.ceil(count / rows_per_block).astype(int))
+    block_of = dict(zip(cells.tolist(), blocks.tolist()))
+    query_blocks = max(1, -(-queries.count() // rows_per_block))
+
+    def visit(frames):
+        for pdf in frames:
+            for i in range(0, len(pdf), 2048):
+                part = pdf.iloc[i : i + 2048]
+                dist = to_pivots(part[vec])[:, cells]
+                order = np.argsort(dist + high, axis=1)
+                filled = np.cumsum(count[order], axis=1) >= need
+                at = np.where(filled.any(axis=1), filled.argmax(axis=1), len(cells) - 1)
+                bound = np.take_along_axis(dist + high, order, axis=1)[np.arange(len(part)), at]
+                least = np.maximum(np.maximum(dist - high, low - dist), 0)
+                rows, cols = np.nonzero(least <= bound[:, None] * (1 + 1e-9) + 1e-12)
+                for c in np.unique(cols):
+                    hit = part.iloc[rows[cols == c]]
+                    for b in range(blocks[c]):
+                        yield pd.DataFrame({key: hit[key], vec: hit[vec], "_cell": int(cells[c]), "_b": b,
+                                            "_q": (hit[key] % query_blocks).astype("int32")})
+
+    wanted = queries.select(key, vec).mapInPandas(visit, f"{key} long, {vec} array<double>, _cell int, _b int, _q int")
+    sizes = F.element_at(F.create_map(*[F.lit(x) for kv in block_of.items() for x in kv]), F.col("_cell"))
+    stored = placed.select(
+        F.col(key).alias("_p"), F.col(vec).alias("_pv"), "_cell", F.pmod(F.xxhash64(key), sizes).cast("int").alias("_b"),
+        F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("_q"),
+    )
+
+    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        columns = [key, "neighbour", "distance"]
+        if not len(left) or not len(right):
+            return pd.DataFrame({c: [] for c in columns})
+        pv, ids = np.stack(right["_pv"].to_numpy()).astype(float), right["_p"].to_numpy()
+        out = []
+        for i in range(0, len(left), 512):
+            part = left.iloc[i : i + 512]
+            x, me = np.stack(part[vec].to_numpy()).astype(float), part[key].to_numpy()
+            dist = np.empty((len(part), len(pv)))
+            for j in range(0, len(pv), 512):
+                dist[:, j : j + 512] = np.sqrt(((x[:, None, :] - pv[None, j : j + 512]) ** 2).sum(axis=2))
+            if skip_self:
+                dist[me[:, None] == ids[None, :]] = np.inf
+            top = np.lexsort((np.broadcast_to(ids, dist.shape), dist), axis=1)[:, :k]
+            best = np.take_along_axis(dist, top, axis=1)
+            out.append(pd.DataFrame({key: np.repeat(me, top.shape[1]), "neighbour": ids[top].ravel(), "distance": best.ravel()}))
+        found = pd.concat(out)
+        return found[np.isfinite(found["distance"])]
+
+    near = wanted.groupBy("_cell", "_b", "_q").cogroup(stored.groupBy("_cell", "_b", "_q")).applyInPandas(
+        search, f"{key} long, neighbour long, distance double")
+    order = Window.partitionBy(key).orderBy("distance", "neighbour")
+    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def nn_distance(df: DataFrame, key: str, vec: str, y: str, k: int = 5, per_positive: int = 5, seed: int = 42) -> DataFrame:
+    """Nearest-neighbour distances between the classes: (kind, key, distance, rank).
+
+    pos_to_neg: ``k`` nearest negatives of every positive. neg_to_pos: nearest
+    positive of every negative. neg_to_neg: nearest other negative of a seeded
+    sample of ``per_positive`` negatives per positive.
+    """
+    pos, neg = df.filter(F.col(y) == 1), df.filter(F.col(y) == 0)
+    n_pos = pos.agg(F.count(F.lit(1)) * per_positive).scalar()
+    sample = sample_rank(neg.withColumn("_h", mix(key, seed)), "_h", key, n_pos)
+    parts = {
+        "pos_to_neg": nearest(pos, neg, key, vec, k),
+        "neg_to_pos": nearest(neg, pos, key, vec, 1),
+        "neg_to_neg": nearest(sample, neg, key, vec, 1, skip_self=True),
+    }
+    out = None
+    for kind, found in parts.items():
+        part = found.select(F.lit(kind).alias("kind"), key, "distance", "rank")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def overlap_curve(df: DataFrame, distance: str, by: Sequence[str] = ()) -> DataFrame:
+    """Percent of rows within each distance."""
+    rows = df.select(*by, distance, F.lit(1).cast("long").alias("_n"))
+    steps = ordered_prefix(rows, by, distance, ["_n"])
+    return steps.select(*by, distance, (100 * F.col("cum__n") / F.col("tot__n")).alias("pct"))
+
+
+def pca_partitions(
+    df: DataFrame, features: Sequence[str], key: str, outcome: str = "outcome", negatives: int = 5000, seed: int = 0
+) -> DataFrame:
+    """Two principal components of the standardised features.
+
+    The plane is fitted on all positives and errors and up to ``negatives``
+    true negatives, and these rows are returned. Fits run jobs.
+    """
+    filled = df.select(key, outcome, *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features])
+    vectors = VectorAssembler(inputCols=list(features), outputCol="_raw").transform(filled)
+    scaled = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True).fit(vectors).transform(vectors)
+    quiet = scaled.filter(F.col(outcome) == "TN").withColumn("_h", mix(key, seed))
+    sample = sample_rank(quiet, "_h", key, F.lit(negatives)).drop("_h")
+    kept = scaled.filter(F.col(outcome) != "TN").unionByName(sample)
+    plane = PCA(k=2, inputCol="_x", outputCol="_pc").fit(kept).transform(kept)
+    xy = vector_to_array("_pc")
+    return plane.select(key, outcome, F.get(xy, F.lit(0)).alias("pc1"), F.get(xy, F.lit(1)).alias("pc2"))
+
+
+def mean_importance(df: DataFrame, models: Sequence[Model], features: Sequence[str]) -> DataFrame:
+    """Importance averaged over the members of an ensemble, ranked."""
+    total = np.mean([m.featureImportances.toArray() for m in models], axis=0)
+    order = np.argsort(-total, kind="stable")
+    rows = [(features[i], float(total[i]), rank + 1) for rank, i in enumerate(order)]
+    return df.sparkSession.createDataFrame(rows, "feature string, importance double, rank int")
+
+
+def permute_column(df: DataFrame, column: str, key: str, seed: int) -> DataFrame:
+    """Shuffle one column among the rows.
+
+    Rows are numbered once by key hash and once by another seed, and the value
+    moves along equal numbers. Hash blocks are even in size, so both numberings
+    are built in parallel.
+    """
+    def numbered(s: int, cols: list[str]) -> DataFrame:
+        hashed = df.withColumn("_h", mix(key, s))
+        block = F.floor(F.col("_h") / F.lit(1 << 24)).cast("long")
+        return running(hashed, [], ["_h", key], block, {"_i": F.lit(1)}).select("_i", *cols)
+
+    rest = [c for c in df.columns if c != column]
+    values = numbered(2 * seed + 1, [column])
+    return numbered(2 * seed + 2, rest).join(values, "_i").select(*df.columns)
+
+
+def permutation_importance(
+    score, df: DataFrame, features: Sequence[str], key: str, y: str, repeats: int = 3, out: str = "prob"
+) -> DataFrame:
+    """Mean and deviation of the drop in average precision when a feature is shuffled.
+
+    ``score`` maps a DataFrame to one with column ``out``. All shuffled copies
+    are scored as one job.
+    """
+    base = average_precision(score(df), y, out).select("ap").scalar()
+    trials = None
+    for f in features:
+        for r in range(repeats):
+            part = score(permute_column(df, f, key, r)).select(
+                F.lit(f).alias("feature"), F.lit(r).alias("repeat"), F.col(y).alias("y"), F.col(out).alias("score"))
+            trials = part if trials is None else trials.unionByName(part)
+    aps = average_precision(trials, "y", "score", ["feature", "repeat"])
+    drop = base - F.col("ap")
+    return aps.groupBy("feature").agg(F.avg(drop).alias("ap_drop"), F.stddev_pop(drop).alias("sd"))
+
+
+def partial_dependence(
+    score, df: DataFrame, feature: str, key: str, points: int = 18, sample: int = 40_000, seed: int = 1, out: str = "prob"
+) -> DataFrame:
+    """Mean score with the feature set to each of a few quantiles of itself.
+
+    The grid and the number of sampled rows are fixed by the caller; each
+    sampled row is expanded over the grid by an array, not by a join.
+    """
+    qs = {f"q{i}": 0.02 + 0.96 * i / (points - 1) for i in range(points)}
+    ends = exact_quantiles(df, [], feature, qs)
+    grid = ends.select(F.array_sort(F.array_distinct(F.array(*[F.col(q) for q in qs])))).scalar()
+    rows = sample_rank(df.withColumn("_h", mix(key, seed)), "_h", key, F.lit(sample)).drop("_h")
+    spread = rows.withColumn("grid", F.explode(grid)).withColumn(feature, F.col("grid"))
+    return score(spread).groupBy("grid").agg(F.avg(out).alias("mean_score"), F.count(F.lit(1)).alias("n"))
+
+
+def leaf_support(model: Model, train: DataFrame, test: DataFrame, key: str) -> DataFrame:
+    """How many training rows share the leaves a row reaches, and the uncertainty.
+
+    Uncertainty is 1 / (1 + ln(1 + mean support)). Leaf counts are one row per
+    (tree, leaf).
+    """
+    model.setLeafCol("_leaf")
+    leaves = lambda df, *keep: model.transform(df).select(*keep, F.posexplode(vector_to_array("_leaf")).alias("_tree", "_at"))
+    counts = leaves(train).groupBy("_tree", "_at").agg(F.count(F.lit(1)).alias("_c"))
+    reached = leaves(test, key).join(counts, ["_tree", "_at"], "left")
+    support = F.coalesce("_c", F.lit(0))
+    out = reached.groupBy(key).agg(F.avg(support).alias("support_mean"), F.min(support).alias("support_min"))
+    return out.withColumn("uncertainty", 1.0 / (1.0 + F.log1p("support_mean")))

@@ -8,6 +8,7 @@ map-side combining and block-wise running sums, for any number of groups.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -341,6 +342,7 @@ def common_days(df: DataFrame, contrast: Sequence[str], model: str, day: str) ->
     return per_day.filter(F.col("_d") == models.scalar()).select(day)
 
 
+@lru_cache(maxsize=4)
 def _multiplicities(days: int, reps: int, seed: int) -> np.ndarray:
     """How often each day is drawn in each replicate, shape (days, reps)."""
     r = np.arange(reps, dtype=np.int64)[:, None]
@@ -413,10 +415,13 @@ def bootstrap_days(
         ]
 
     prefix = f"{key_types}, " if by else ""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a fixed number of tasks: adaptive coalescing goes by bytes, the work here is per bin
+    hist = hist.repartition(tasks, *by, "_bin")
     carried = bins.groupBy(*by).applyInPandas(carry, f"{prefix}_bin long, _cn array<double>, _cp array<double>")
     parts = (
         hist.groupBy(*by, "_bin")
-        .cogroup(carried.groupBy(*by, "_bin"))
+        .cogroup(carried.repartition(tasks, *by, "_bin").groupBy(*by, "_bin"))
         .applyInPandas(score_bin, f"{prefix}rep int, _ap double, _u double, _n double, _p double")
     )
     sums = parts.groupBy(*by, "rep").agg(*[F.sum(c).alias(c) for c in ("_ap", "_u", "_n", "_p")])

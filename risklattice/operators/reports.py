@@ -80,12 +80,16 @@ def segment_map(pred: DataFrame, loc: Sequence[str], y: str, score: str, flag: s
     Rates without a denominator and quality without both classes are null.
     """
     counts = confusion(pred, y, flag, loc)
-    rank = ranking_metrics(pred, y, score, loc).select(*loc, "n", "pos", "ap", "lift")
-    both = (F.col("pos") > 0) & (F.col("pos") < F.col("n"))
+    keys = [f"_k{i}" for i in range(len(loc))]
+    named = pred.select(*[F.col(c).alias(k) for c, k in zip(loc, keys)], F.col(y).alias("_y"), F.col(score).alias("_s"))
+    rank = ranking_metrics(named, "_y", "_s", keys).select(
+        *[F.col(k).alias(c) for c, k in zip(loc, keys)], "n", F.col("pos").alias("_pos"), "ap", "lift"
+    )
+    both = (F.col("_pos") > 0) & (F.col("_pos") < F.col("n"))
     flagged = F.col("tp") + F.col("fp")
     return counts.join(rank, list(loc)).select(
-        *loc, "n", F.col("pos").alias("positives"), "tp", "fp", flagged.alias("flagged"),
-        F.when(F.col("pos") > 0, F.col("tp") / F.col("pos")).alias("recall"),
+        *loc, "n", F.col("_pos").alias("positives"), "tp", "fp", flagged.alias("flagged"),
+        F.when(F.col("_pos") > 0, F.col("tp") / F.col("_pos")).alias("recall"),
         F.when(flagged > 0, F.col("tp") / flagged).alias("precision"),
         F.when(both, F.col("ap")).alias("ap"), F.when(both, F.col("lift")).alias("lift"),
     )

@@ -169,7 +169,7 @@ def e13(spark, d):
 
 @query("e14_calibration", sql("long_scores", """
     select model, cast(b as integer) as bin, round(avg(score), 6) as mean_score, round(avg(y), 6) as observed, count(*) as n
-    from (select *, len(list_filter(range(0, 10), i -> i * cast(0.1 as double) <= score)) - 1 as b from long_scores where score >= 0 and score < 1) group by model, b"""))
+    from (select *, (select count(*) from range(10) e(i) where i * cast(0.1 as double) <= score) - 1 as b from long_scores where score >= 0 and score < 1) group by model, b"""))
 def e14(spark, d):
     return rounded(E.calibration(V.long_scores(spark, d), "y", "score", by=["model"]), "mean_score", "observed")
 
