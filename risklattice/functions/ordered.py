@@ -224,8 +224,16 @@ def running(
     )
 
 
+def scatter(key: str | Column, seed: int) -> Column:
+    """Seeded hash of any key in [0, 2**32); other seeds give unrelated orders."""
+    return F.pmod(F.xxhash64(col(key), F.lit(int(seed))), F.lit(1 << 32))
+
+
 def mix(key: str | Column, seed: int) -> Column:
-    """Seeded arithmetic hash of an integer key, in [0, 2**32)."""
+    """Seeded arithmetic rank of an integer key in [0, 2**32), the same in any engine.
+
+    Seeds rotate one order; use ``scatter`` where several seeds must differ.
+    """
     low32 = F.pmod(col(key).cast("long"), F.lit(1 << 32))
     high, low = F.floor(low32 / F.lit(65536)).cast("long"), F.pmod(low32, F.lit(65536))
     product = F.pmod(high * F.lit(2654435761), F.lit(65536)) * F.lit(65536) + low * F.lit(2654435761)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.ordered import exact_quantiles, mix, ordered_prefix, running, sample_rank
+from ..functions.ordered import exact_quantiles, mix, ordered_prefix, running, sample_rank, scatter
 from .aggregate import to_long
 from .evaluate import average_precision
 
@@ -285,7 +285,7 @@ def permute_column(df: DataFrame, column: str, key: str, seed: int) -> DataFrame
     are built in parallel.
     """
     def numbered(s: int, cols: list[str]) -> DataFrame:
-        hashed = df.withColumn("_h", mix(key, s))
+        hashed = df.withColumn("_h", scatter(key, s))
         block = F.floor(F.col("_h") / F.lit(1 << 24)).cast("long")
         return running(hashed, [], ["_h", key], block, {"_i": F.lit(1)}).select("_i", *cols)
 
@@ -310,8 +310,8 @@ def permutation_importance(
                 F.lit(f).alias("feature"), F.lit(r).alias("repeat"), F.col(y).alias("y"), F.col(out).alias("score"))
             trials = part if trials is None else trials.unionByName(part)
     aps = average_precision(trials, "y", "score", ["feature", "repeat"])
-    drop = base - F.col("ap")
-    return aps.groupBy("feature").agg(F.avg(drop).alias("ap_drop"), F.stddev_pop(drop).alias("sd"))
+    drops = aps.select("feature", (base - F.col("ap")).alias("_drop"))
+    return drops.groupBy("feature").agg(F.avg("_drop").alias("ap_drop"), F.stddev_pop("_drop").alias("sd"))
 
 
 def partial_dependence(
