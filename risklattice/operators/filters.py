@@ -144,6 +144,15 @@ def time_folds(df: DataFrame, ts: str, k: int = 3, out: str = "fold") -> DataFra
     return placed.select(*df.columns, F.least(fold, F.lit(k)).cast("int").alias(out))
 
 
+def fold_bounds(df: DataFrame, ts: str, k: int = 3) -> DataFrame:
+    """First instant (epoch microseconds) of each of the ``k + 1`` blocks of ``time_folds``.
+
+    With the bounds at hand a fold is a plain range filter on the input.
+    """
+    fold = F.least(F.floor(F.col("_before") * (k + 1) / F.col("_total")), F.lit(k)).cast("int")
+    return _position(df, ts).groupBy(fold.alias("fold")).agg(F.min("_t").alias("start"))
+
+
 def split_quantile(df: DataFrame, ts: str, q: float = 0.8, out: str = "train") -> DataFrame:
     """1 on rows up to the quantile of their instants."""
     micros = df.select(epoch_micros(ts).alias("_t"))

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.timeparts import epoch_seconds
+
 STEPS_PER_BLOCK = 1024
 
 
@@ -24,8 +26,8 @@ def build_lattice(
     all tasks before they are expanded to single instants: a network of few
     segments with a long record still runs in parallel.
     """
-    first = F.lit(start).cast("timestamp_ntz")
-    span = F.unix_timestamp(F.lit(end)) - F.unix_timestamp(F.lit(start))
+    first, last = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
+    span = epoch_seconds(last) - epoch_seconds(first)
     steps = F.ceil(span / F.lit(step_minutes * 60)).cast("long")
     blocks = F.ceil(steps / F.lit(STEPS_PER_BLOCK)).cast("long")
     tasks = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))

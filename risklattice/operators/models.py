@@ -24,7 +24,7 @@ from ..functions.ordered import ordered_prefix, sample_rank, scatter
 from .aggregate import apply_eb, eb_rate, profile_fit, profile_predict, residual_baseline, residualise, volume_factor
 from .diagnose import nearest
 from .evaluate import average_precision, confusion, operating_point, pr_curve, prf
-from .filters import split_tail_days, time_folds
+from .filters import epoch_micros, fold_bounds, split_tail_days
 from .projections import issue_risk
 from .windows import run_weights
 
@@ -138,15 +138,25 @@ def _ap(df: DataFrame, y: str, score: str) -> float:
 
 def cross_validate(df: DataFrame, ts: str, y: str, fit: Fit, folds: int = 3) -> float:
     """Mean average precision over forward-chaining folds along time."""
-    placed = time_folds(df, ts, folds, "_fold")
     values = []
-    for i in range(1, folds + 1):
-        train, test = placed.filter(F.col("_fold") < i), placed.filter(F.col("_fold") == i)
+    for train, test in forward_folds(df, ts, folds):
         if _counts(train, y)[0] and _counts(test, y)[0]:
             values.append(_ap(fit(train)(test), y, "prob"))
     return sum(values) / len(values) if values else float("-inf")
 
 
+def forward_folds(df: DataFrame, ts: str, folds: int) -> list[tuple[DataFrame, DataFrame]]:
+    """(earlier rows, next block) pairs; the few block bounds are collected once."""
+    starts = dict(fold_bounds(df, ts, folds).collect())
+    at, out = epoch_micros(ts), []
+    for i in range(1, folds + 1):
+        if i in starts:
+            upto = min((b for f, b in starts.items() if f > i), default=None)
+            test = df.filter(at >= starts[i]) if upto is None else df.filter((at >= starts[i]) & (at < upto))
+            out.append((df.filter(at < starts[i]), test))
+    return out
+
+
 # Classifiers.
 
 def fit_logit(
@@ -159,7 +169,7 @@ def fit_logit(
     """
     def fit_with(c: float) -> Fit:
         def fit(train: DataFrame) -> Scorer:
-            pos, neg = _counts(train, y)
+            pos, neg = _counts(train, y)  # also fixes the penalty's scale
             stages = [
                 StandardScaler(inputCol="_x", outputCol="_z", withMean=True),
                 LogisticRegression(featuresCol="_z", labelCol=y, weightCol="_w", maxIter=max_iter,
@@ -418,8 +428,9 @@ def choose(
     The incumbent wins ties; the winner is refitted on all rows. Returns its
     name, all values, and its scorer.
     """
-    held = split_tail_days(df, ts, frac, "_held")
-    train, test = held.filter("_held = 0").drop("_held"), held.filter("_held = 1").drop("_held")
+    held = split_tail_days(df, ts, frac, "_held").filter("_held = 1")
+    cut = held.select(F.min(epoch_micros(ts))).first()[0]
+    train, test = df.filter(epoch_micros(ts) < cut), df.filter(epoch_micros(ts) >= cut)
     if not _counts(test, y)[0]:
         return incumbent, {}, candidates[incumbent](df)
     order = [incumbent, *[c for c in candidates if c != incumbent]]
@@ -444,15 +455,14 @@ def fit_severity(
 
     best = settings[0]
     if ts is not None and len(settings) > 1:
-        placed = time_folds(df, ts, folds, "_fold")
+        pairs = forward_folds(df, ts, folds)
 
         def accuracy(options: dict) -> float:
             hits = []
-            for i in range(1, folds + 1):
-                model = fit_with(options)(placed.filter(F.col("_fold") < i))
-                test = model.transform(_filled(placed.filter(F.col("_fold") == i), features))
-                hits.append(test.agg(F.avg((F.col("prediction") == F.col(level)).cast("int"))).first()[0] or 0.0)
-            return sum(hits) / len(hits)
+            for train, test in pairs:
+                scored = fit_with(options)(train).transform(_filled(test, features))
+                hits.append(scored.agg(F.avg((F.col("prediction") == F.col(level)).cast("int"))).first()[0] or 0.0)
+            return sum(hits) / max(len(hits), 1)
 
         best = max(settings, key=accuracy)
     model = fit_with(best)(df)

@@ -48,7 +48,7 @@ def m03(spark, d):
 @query("m04_fit_logit")
 def m04(spark, d):
     rows = labelled(spark, d)
-    return issued(M.fit_logit(rows, FEATURES, "y", "ts", grid=(0.01, 1), max_iter=20), rows)
+    return issued(M.fit_logit(rows, FEATURES, "y", "ts", grid=(0.01, 1), max_iter=8, folds=2), rows)
 
 
 @query("m05_fit_logit_fixed")
@@ -61,7 +61,7 @@ def m05(spark, d):
 def m06(spark, d):
     rows = labelled(spark, d)
     choices = ({"maxDepth": 3}, {"maxDepth": 5})
-    return issued(M.fit_forest(rows, FEATURES, "y", "ts", grid=choices, trees=5), rows)
+    return issued(M.fit_forest(rows, FEATURES, "y", "ts", grid=choices, trees=5, folds=2), rows)
 
 
 @query("m07_fit_gbt")
