@@ -8,7 +8,7 @@ the blocks, so the result is that of the plain window:
 ``ordered_prefix``   running totals along the distinct values of a column
 ``running``          running sums along a key ordering
 ``over_blocks``      bounded frames (lags, rolling, history) with carried rows
-``exact_quantiles``  exact interpolated quantiles from running counts
+``exact_quantiles``  exact interpolated quantiles from counts per value bin
 ``sample_rank``      exact seeded samples through a hash threshold
 """
 
@@ -84,25 +84,44 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact linearly interpolated quantiles, one output column per entry.
 
-    Nulls are ignored. Unlike ``percentile`` the distinct values of a group are
-    never held in one buffer: the two order statistics around each quantile are
-    read off running counts.
+    Nulls are ignored. Rows are first counted per value bin, with map-side
+    combining; the counts tell which few bins hold the wanted ranks, and only
+    the rows of those bins are counted by value and ordered. Neither a group nor
+    its distinct values are ever held in one buffer, as ``percentile`` does.
     """
-    rows = df.filter(F.col(value).isNotNull()).select(*by, value, F.lit(1).cast("long").alias("_n"))
-    steps = ordered_prefix(rows, by, value, ["_n"])
+    by = list(by)
+    rows = df.filter(F.col(value).isNotNull()).select(*by, value, value_bin(value).alias("_bin"))
+    group = Window.partitionBy(*by)
+    upto = group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    bins = rows.groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("_c"))
+    bins = bins.select(
+        *by, "_bin", (F.sum("_c").over(upto) - F.col("_c")).alias("_before"), "_c", F.sum("_c").over(group).alias("_total")
+    )
+
+    def ranks(q: float) -> tuple[Column, Column, Column]:
+        at = F.lit(float(q)) * (F.col("_total") - 1)
+        return F.floor(at), F.ceil(at), at - F.floor(at)
+
+    wanted = F.lit(False)
+    for q in quantiles.values():
+        for rank in ranks(q)[:2]:
+            wanted = wanted | ((F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_c")))
+    near = _join(rows, bins.filter(wanted).drop("_c"), [*by, "_bin"])
+    counted = near.groupBy(*by, "_bin", "_before", "_total", value).agg(F.count(F.lit(1)).alias("_n"))
+    inside = Window.partitionBy(*by, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    steps = counted.withColumn("_cum", F.col("_before") + F.sum("_n").over(inside))
     picks, finals = [], []
     for name, q in quantiles.items():
-        at = F.lit(float(q)) * (F.col("tot__n") - 1)
-        low, high = F.floor(at), F.ceil(at)
+        low, high, part = ranks(q)
 
         def holds(rank: Column) -> Column:
-            return (F.col("cum__n") - F.col("_n") <= rank) & (rank < F.col("cum__n"))
+            return (F.col("_cum") - F.col("_n") <= rank) & (rank < F.col("_cum"))
 
         x = F.col(value).cast("double")
         picks += [
             F.max(F.when(holds(low), x)).alias(f"_lo_{name}"),
             F.max(F.when(holds(high), x)).alias(f"_hi_{name}"),
-            F.max(at - low).alias(f"_fr_{name}"),
+            F.max(part).alias(f"_fr_{name}"),
         ]
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         finals.append((lo + (hi - lo) * F.col(f"_fr_{name}")).alias(name))
@@ -117,25 +136,36 @@ def with_overlap(
     block: Column,
     before: int = 0,
     after: int = 0,
+    uses: Sequence[str] | None = None,
 ) -> DataFrame:
     """Add ``_block`` and copies of the rows just outside each block.
 
     Every (keys, block) receives the last ``before`` rows ahead of it and the
     first ``after`` rows behind it, wherever those lie; copies carry
     ``_own = false``. The rows taken from a block are limited map-side (a group
-    limit on ``row_number``), so the carried table is small.
+    limit on ``row_number``), so the carried table is small. With ``uses`` the
+    copies hold only these columns and null elsewhere, so that their scan reads
+    no others.
     """
     keys, order = list(keys), list(order)
     base = df.withColumn("_block", block)
-    names = [c for c in df.columns if c not in keys]
+    names = [c for c in df.columns if c not in keys and (uses is None or c in uses or c in order)]
     row = F.struct(*order, *[c for c in names if c not in order]).alias("_row")
+    types = {f.name: f.dataType for f in df.schema.fields}
+
+    def carried_column(c: str) -> Column:
+        if c in keys:
+            return F.col(c)
+        return (F.col(f"_row.{c}") if c in names else F.lit(None).cast(types[c])).alias(c)
+
     parts = [base.withColumn("_own", F.lit(True))]
     for count, ahead in ((before, True), (after, False)):
         if count <= 0:
             continue
         toward = [F.col(o).desc() if ahead else F.col(o).asc() for o in order]
         edge = Window.partitionBy(*keys, "_block").orderBy(*toward)
-        kept = base.withColumn("_rn", F.row_number().over(edge)).filter(F.col("_rn") <= count)
+        slim = base.select(*keys, "_block", *names)
+        kept = slim.withColumn("_rn", F.row_number().over(edge)).filter(F.col("_rn") <= count)
         per_block = kept.groupBy(*keys, "_block").agg(F.sort_array(F.collect_list(row)).alias("_r"))
         blocks = Window.partitionBy(*keys).orderBy("_block")
         span = blocks.rowsBetween(-count, -1) if ahead else blocks.rowsBetween(1, count)
@@ -147,9 +177,7 @@ def with_overlap(
         carried = near.select(*keys, "_block", F.explode(cut).alias("_row"))
         parts.append(
             carried.select(
-                *[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns],
-                "_block",
-                F.lit(False).alias("_own"),
+                *[carried_column(c) for c in df.columns], "_block", F.lit(False).alias("_own")
             )
         )
     out = parts[0]
@@ -166,13 +194,15 @@ def over_blocks(
     exprs: Callable[[WindowSpec], dict[str, Column]],
     before: int = 0,
     after: int = 0,
+    uses: Sequence[str] | None = None,
 ) -> DataFrame:
     """Window expressions whose frame reaches at most ``before``/``after`` rows.
 
     ``exprs`` receives the ordered window of one block. The result equals the
-    window over ``keys`` alone.
+    window over ``keys`` alone. ``uses`` names the columns the expressions read,
+    if not all.
     """
-    wide = with_overlap(df, keys, order, block, before, after)
+    wide = with_overlap(df, keys, order, block, before, after, uses)
     window = Window.partitionBy(*keys, "_block").orderBy(*order)
     columns = exprs(window)
     kept = [c for c in df.columns if c not in columns]

@@ -35,3 +35,14 @@ def day_chunk(ts: str | Column, days: int = 7) -> Column:
 def band(value: str | Column, width: float) -> Column:
     """Number of the ``width``-wide band that holds a position."""
     return F.floor(col(value) / F.lit(width)).cast("long")
+
+
+def hour_start(ts: str | Column) -> Column:
+    """Timestamp truncated to the hour, without a detour over the session's zone."""
+    ts = col(ts)
+    return F.to_date(ts).cast("timestamp_ntz") + F.make_dt_interval(hours=F.hour(ts))
+
+
+def minute_number(ts: str | Column) -> Column:
+    """Whole minutes since 1970-01-01."""
+    return F.floor(epoch_seconds(ts) / 60).cast("long")

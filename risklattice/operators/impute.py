@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.ordered import exact_quantiles, mix, running, sample_rank
+from ..functions.ordered import exact_quantiles, mix, sample_rank
 from ..functions.timeparts import day_chunk, epoch_seconds
 
 EPSILON = 1e-6
@@ -31,34 +31,46 @@ def interpolate(
     """
     loc = list(loc)
     block = day_chunk(ts, BLOCK_DAYS) if block is None else block
-    placed = running(df, loc, [ts], block, {"_at": F.lit(1)}).withColumn("_block", block)
     inside = Window.partitionBy(*loc, "_block").orderBy(ts)
     back = inside.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = inside.rowsBetween(0, Window.unboundedFollowing)
+    # looking ahead is looking back along the reversed order: frames that end at
+    # the current row grow row by row, frames that start there are rebuilt each time
+    ahead = Window.partitionBy(*loc, "_block").orderBy(F.col(ts).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = df.withColumn("_block", block).withColumn("_at", F.row_number().over(inside).cast("long"))
 
     def known(c: str) -> Column:
         return F.when(F.col(c).isNotNull(), F.struct(F.col("_at").alias("at"), F.col(c).cast("double").alias("v")))
 
+    def moved(c: str) -> Column:
+        return F.when(F.col(c).isNotNull(), F.struct((F.col(f"{c}.at") + F.col("_o")).alias("at"), F.col(f"{c}.v").alias("v")))
+
+    # one row per (location, block): its size and its first and last known values
     edges = placed.groupBy(*loc, "_block").agg(
-        *[F.max(known(c)).alias(f"_e_{c}") for c in cols], *[F.min(known(c)).alias(f"_b_{c}") for c in cols]
+        F.count(F.lit(1)).alias("_size"),
+        *[F.max(known(c)).alias(f"_e_{c}") for c in cols], *[F.min(known(c)).alias(f"_b_{c}") for c in cols],
     )
     blocks = Window.partitionBy(*loc).orderBy("_block")
     earlier = blocks.rowsBetween(Window.unboundedPreceding, -1)
-    later = blocks.rowsBetween(1, Window.unboundedFollowing)
-    carry = edges.select(
-        *loc, "_block",
-        *[F.last(f"_e_{c}", ignorenulls=True).over(earlier).alias(f"_p_{c}") for c in cols],
-        *[F.first(f"_b_{c}", ignorenulls=True).over(later).alias(f"_n_{c}") for c in cols],
+    later = Window.partitionBy(*loc).orderBy(F.col("_block").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    offset = edges.withColumn("_o", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
+    offset = offset.select(
+        *loc, "_block", "_o", *[moved(f"_e_{c}").alias(f"_e_{c}") for c in cols], *[moved(f"_b_{c}").alias(f"_b_{c}") for c in cols]
     )
-    near = placed.join(carry, [*loc, "_block"]).select(
-        *df.columns, "_at",
-        *[F.coalesce(F.last(known(c), ignorenulls=True).over(back), F.col(f"_p_{c}")).alias(f"_lo_{c}") for c in cols],
-        *[F.coalesce(F.first(known(c), ignorenulls=True).over(ahead), F.col(f"_n_{c}")).alias(f"_hi_{c}") for c in cols],
+    carry = offset.select(
+        *loc, "_block", "_o",
+        *[F.last(f"_e_{c}", ignorenulls=True).over(earlier).alias(f"_p_{c}") for c in cols],
+        *[F.last(f"_b_{c}", ignorenulls=True).over(later).alias(f"_n_{c}") for c in cols],
     )
+    near = placed.select(
+        *df.columns, "_block", "_at",
+        *[F.last(known(c), ignorenulls=True).over(back).alias(f"_l_{c}") for c in cols],
+        *[F.last(known(c), ignorenulls=True).over(ahead).alias(f"_h_{c}") for c in cols],
+    ).join(carry, [*loc, "_block"])
     filled = {}
     for c in cols:
-        lo, hi = F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
-        slope = (hi["v"] - lo["v"]) * (F.col("_at") - lo["at"]) / (hi["at"] - lo["at"])
+        lo, hi = F.coalesce(moved(f"_l_{c}"), F.col(f"_p_{c}")), F.coalesce(moved(f"_h_{c}"), F.col(f"_n_{c}"))
+        here = F.col("_at") + F.col("_o")
+        slope = (hi["v"] - lo["v"]) * (here - lo["at"]) / (hi["at"] - lo["at"])
         filled[c] = (
             F.when(F.col(c).isNotNull(), F.col(c).cast("double"))
             .when(lo.isNull(), hi["v"]).when(hi.isNull(), lo["v"]).otherwise(lo["v"] + slope)

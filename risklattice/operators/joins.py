@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.timeparts import epoch_seconds
+from ..functions.timeparts import epoch_seconds, hour_start, minute_number
 
 STEPS_PER_BLOCK = 1024
 
@@ -53,9 +53,8 @@ def attach_hourly(
     lattice: DataFrame, hourly: DataFrame, ts: str, keys: Sequence[str] = ()
 ) -> DataFrame:
     """Attach values that hold for a whole hour to every instant in it."""
-    hour = F.date_trunc("hour", F.col(ts)).cast("timestamp_ntz")
     right = hourly.withColumnRenamed(ts, "_hour")
-    return lattice.withColumn("_hour", hour).join(right, [*keys, "_hour"], "left").drop("_hour")
+    return lattice.withColumn("_hour", hour_start(ts)).join(right, [*keys, "_hour"], "left").drop("_hour")
 
 
 def attach_labels(
@@ -203,9 +202,7 @@ def assign_incident(
         (F.col(pos) >= F.col("_low")) & (F.col(pos) <= F.col("_high"))
         & (F.col(ts) >= F.col("_from")) & (F.col(ts) <= F.col("tmax"))
     )
-    minutes = F.timestamp_diff(
-        "MINUTE", F.date_trunc("minute", "tmin"), F.date_trunc("minute", ts)
-    )
+    minutes = minute_number(ts) - minute_number("tmin")
     chosen = (
         placed.join(listed, [direction, "_day", "_band"])
         .filter(inside)

@@ -203,7 +203,7 @@ def substitute_channels(
         def shifted(w):
             return {f"{c}{suffix}": F.lag(c, lag).over(w) for c in channels}
 
-        out = over_blocks(df, loc, [ts], day_chunk(ts, 30), shifted, before=lag)
+        out = over_blocks(df, loc, [ts], day_chunk(ts, 30), shifted, before=lag, uses=channels)
         return out.dropna(subset=[f"{c}{suffix}" for c in channels])
     raise ValueError(f"unknown mode {mode}")
 

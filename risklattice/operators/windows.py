@@ -51,15 +51,15 @@ def _floor_abs(c: str | Column, eps: float = EPS) -> Column:
     return F.greatest(F.abs(F.col(c) if isinstance(c, str) else c), F.lit(eps))
 
 
-def _per_location(df: DataFrame, loc: Sequence[str], ts: str, exprs, before: int) -> DataFrame:
-    return over_blocks(df, loc, [ts], day_chunk(ts, BLOCK_DAYS), exprs, before)
+def _per_location(df: DataFrame, loc: Sequence[str], ts: str, exprs, before: int, uses: Sequence[str]) -> DataFrame:
+    return over_blocks(df, loc, [ts], day_chunk(ts, BLOCK_DAYS), exprs, before, uses=uses)
 
 
 # Single operators.
 
 def lags(df: DataFrame, loc: Sequence[str], ts: str, c: str, steps: Sequence[int] = LAG_STEPS, prefix: str = "") -> DataFrame:
     """Value 1, 2 and 4 rows earlier."""
-    return _per_location(df, loc, ts, lambda w: lag_exprs(w, c, steps, prefix or c), max(steps))
+    return _per_location(df, loc, ts, lambda w: lag_exprs(w, c, steps, prefix or c), max(steps), [c])
 
 
 def deltas(df: DataFrame, loc: Sequence[str], ts: str, c: str, step_minutes: int = 5) -> DataFrame:
@@ -68,22 +68,22 @@ def deltas(df: DataFrame, loc: Sequence[str], ts: str, c: str, step_minutes: int
         one = F.col(c) - F.lag(c, 1).over(w)
         return {"delta_1": one, "delta_2": F.col(c) - F.lag(c, 2).over(w), "accel": one / max(step_minutes, 1)}
 
-    return _per_location(df, loc, ts, exprs, 2)
+    return _per_location(df, loc, ts, exprs, 2, [c])
 
 
 def rolling_std(df: DataFrame, loc: Sequence[str], ts: str, c: str, windows: Sequence[int] = ROLL_WINDOWS) -> DataFrame:
     """Sample deviation of the last ``n`` rows for each window."""
-    return _per_location(df, loc, ts, lambda w: {f"{c}_std_{n}": std_expr(w, c, n) for n in windows}, max(windows) - 1)
+    return _per_location(df, loc, ts, lambda w: {f"{c}_std_{n}": std_expr(w, c, n) for n in windows}, max(windows) - 1, [c])
 
 
 def rolling_mean(df: DataFrame, loc: Sequence[str], ts: str, c: str, windows: Sequence[int] = (4,)) -> DataFrame:
     """Mean of the last ``n`` rows for each window."""
-    return _per_location(df, loc, ts, lambda w: {f"{c}_mean_{n}": mean_expr(w, c, n) for n in windows}, max(windows) - 1)
+    return _per_location(df, loc, ts, lambda w: {f"{c}_mean_{n}": mean_expr(w, c, n) for n in windows}, max(windows) - 1, [c])
 
 
 def rolling_cv(df: DataFrame, loc: Sequence[str], ts: str, c: str, n: int = 2) -> DataFrame:
     """Rolling deviation over the guarded magnitude of the value."""
-    return _per_location(df, loc, ts, lambda w: {f"{c}_cv_{n}": std_expr(w, c, n) / _floor_abs(c)}, n - 1)
+    return _per_location(df, loc, ts, lambda w: {f"{c}_cv_{n}": std_expr(w, c, n) / _floor_abs(c)}, n - 1, [c])
 
 
 def spatial_gradient(df: DataFrame, keys: Sequence[str], pos: str, channels: dict[str, str], down: Sequence[str] = ()) -> DataFrame:
@@ -100,7 +100,7 @@ def spatial_gradient(df: DataFrame, keys: Sequence[str], pos: str, channels: dic
                 out[f"{prefix}_grad_dn"] = F.lead(c).over(w) - F.col(c)
         return out
 
-    return over_blocks(df, keys, [pos], band(pos, POSTS_PER_BAND), exprs, 1, 1 if down else 0)
+    return over_blocks(df, keys, [pos], band(pos, POSTS_PER_BAND), exprs, 1, 1 if down else 0, list(channels))
 
 
 def zscore(df: DataFrame, base: DataFrame, keys: Sequence[str], c: str, prefix: str, low: float = -1.5) -> DataFrame:
@@ -165,7 +165,7 @@ def history(df: DataFrame, loc: Sequence[str], ts: str, cols: Sequence[str], len
     def exprs(w):
         return {out: F.collect_list(F.struct(*cols)).over(w.rowsBetween(-length, -1))}
 
-    return _per_location(df, loc, ts, exprs, length).filter(F.size(out) == length)
+    return _per_location(df, loc, ts, exprs, length, cols).filter(F.size(out) == length)
 
 
 def run_weights(
@@ -317,7 +317,7 @@ def build_features(df: DataFrame, cfg: FeatureConfig, boundary: str) -> DataFram
             x["hv_fraction_lag1"] = F.lag(share, 1).over(w)
         return x
 
-    out = _per_location(df, cfg.loc, cfg.ts, frames, max(LAG_STEPS))
+    out = _per_location(df, cfg.loc, cfg.ts, frames, max(LAG_STEPS), [v, q, h])
     past = df.filter(F.col(cfg.ts) < F.lit(boundary).cast("timestamp_ntz"))
     keys = cfg.baseline_keys
     if on("gradient"):
@@ -376,7 +376,7 @@ def build_covariate_features(
                 x[f"cov_{c}_std_{n}"] = std_expr(w, c, n)
         return x
 
-    out = _per_location(df, loc, ts, frames, 11)
+    out = _per_location(df, loc, ts, frames, 11, cols)
     past = df.filter(F.col(ts) < F.lit(boundary).cast("timestamp_ntz"))
     aggs = [F.avg(c).alias(f"_m_{c}") for c in cols] + [F.stddev_samp(c).alias(f"_s_{c}") for c in cols]
     out = out.join(past.groupBy(*keys).agg(*aggs), list(keys), "left")

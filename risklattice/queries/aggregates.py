@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.timeparts import hour_start
 from ..operators import aggregate as A
 from . import views as V
 from .oracle import CTES, sql
@@ -20,7 +21,7 @@ def rounded(df, *cols, digits=6):
 @query("a01_agg_mean", sql("located", """
     select pos, dir, date_trunc('hour', ts) as t, round(avg(value), 6) as value from located group by all"""))
 def a01(spark, d):
-    raw = V.located(spark, d).select(*LOC, F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("t"), "value")
+    raw = V.located(spark, d).select(*LOC, hour_start("ts").alias("t"), "value")
     return rounded(A.agg_mean(raw, ["pos", "dir", "t"], ["value"]), "value")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.timeparts import hour_start
 from ..operators import episodes as EP
 from ..operators import joins as J
 from ..session import materialise
@@ -136,7 +137,7 @@ def l07_events(spark, d):
     select dir, date_trunc('hour', ts) as t, min(pos) as pkmin, max(pos) as pkmax from located where event_type = 'error' group by all"""))
 def l08(spark, d):
     stamps = V.located(spark, d).filter("event_type = 'error'").select(
-        "dir", "pos", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("t"))
+        "dir", "pos", hour_start("ts").alias("t"))
     return EP.footprints(stamps, ["dir", "t"], "pos")
 
 
@@ -152,7 +153,7 @@ CTES["matched"] = (("scores",), """
 def scored(spark, d):
     """Scores with hourly instants; two thirds of the positives belong to an incident."""
     s = V.scores(spark, d)
-    return s.withColumn("t", F.date_trunc("hour", "ts").cast("timestamp_ntz")).withColumn(
+    return s.withColumn("t", hour_start("ts")).withColumn(
         "incident_id", F.expr("case when y = 1 and event_id % 3 > 0 then pos div 10 end"))
 
 

@@ -98,12 +98,12 @@ CTES["propagated"] = (("sensed", "decay"), """
 
 
 @query("c03_propagate_flow", sql("propagated", """
-    select orderkey, count(*) as n, cast(sum(cast(round(flow_prop, 6) as decimal(18,6))) as double) as flow_prop,
-           cast(sum(cast(round(heavy_prop, 6) as decimal(18,6))) as double) as heavy_prop
+    select orderkey, count(*) as n, cast(sum(cast(floor(flow_prop * 1000 + 0.5) as bigint)) as bigint) as flow_prop,
+           cast(sum(cast(floor(heavy_prop * 1000 + 0.5) as bigint)) as bigint) as heavy_prop
     from propagated group by orderkey"""))
 def c03(spark, d):
     def total(c):
-        return F.sum(F.round(c, 6).cast("decimal(18,6)")).cast("double").alias(c)
+        return F.sum(F.floor(F.col(c) * 1000 + 0.5)).alias(c)
 
     return propagated(spark, d).groupBy("orderkey").agg(
         F.count(F.lit(1)).alias("n"), total("flow_prop"), total("heavy_prop"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.timeparts import hour_start
 from ..operators import episodes as ep
 from ..operators import joins as J
 from . import views as V
@@ -26,7 +27,7 @@ def j01(spark, d):
     on l.pos = f.pos and l.dir = f.dir and l.t = f.t"""))
 def j02(spark, d):
     raw = V.located(spark, d).select(
-        *LOC, F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("t"), "value")
+        *LOC, hour_start("ts").alias("t"), "value")
     n = F.count(F.lit(1))
     aggs = [n.alias("flow"), r6(F.sum(V.money("value")).cast("double") / n).alias("speed")]
     return J.attach_measure(V.lattice(spark, d), raw, [*LOC, "t"], aggs)
@@ -169,7 +170,7 @@ INCIDENTS_SQL = """
 
 def incidents(spark, d):
     stamps = V.located(spark, d).filter("event_type = 'error' and value > 60").select(
-        "dir", "pos", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("t")).distinct()
+        "dir", "pos", hour_start("ts").alias("t")).distinct()
     return ep.build_incidents(ep.footprints(stamps, ["dir", "t"], "pos"), "dir", "t", hours=2, tolerance=2)
 
 
@@ -190,7 +191,7 @@ def j14(spark, d):
     on s.pos = c.pos and s.dir = c.dir and date_trunc('hour', s.ts) = c.t"""))
 def j15(spark, d):
     pred = V.scores(spark, d).select(
-        "event_id", "pos", "dir", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("t"), r6("pa").alias("pa"))
+        "event_id", "pos", "dir", hour_start("ts").alias("t"), r6("pa").alias("pa"))
     out = J.attach_features(pred, V.cells(spark, d).select(*LOC, "t", "flow", "heavy"), [*LOC, "t"])
     return out.select("event_id", "pa", "flow", "heavy")
 

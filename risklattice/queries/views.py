@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.timeparts import hour_start
 from ..operators import joins
 
 START, END = "2024-01-01 00:00:00", "2024-01-31 00:00:00"
@@ -45,7 +46,7 @@ def lattice(spark: SparkSession, d: str) -> DataFrame:
 def fact(spark: SparkSession, d: str) -> DataFrame:
     return (
         located(spark, d)
-        .groupBy("pos", "dir", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("t"))
+        .groupBy("pos", "dir", hour_start("ts").alias("t"))
         .agg(
             F.count(F.lit(1)).alias("flow"),
             (F.sum(money("value")).cast("double") / F.count(F.lit(1))).alias("speed"),

@@ -8,6 +8,7 @@ from ..functions.ordered import mix, sample_rank
 from ..operators import aggregate as A
 from ..operators import evaluate as E
 from ..operators import windows as W
+from ..session import materialise
 from . import views as V
 from .aggregates import rounded
 from .oracle import CTES, sql
@@ -239,7 +240,8 @@ WHOLE = {"speed_pct_below_normal", "flow_regime", "is_peak_hour", "is_raining",
 
 
 def feature_frame(spark, d):
-    return W.build_features(road(spark, d), W.FeatureConfig(weather=WEATHER, step_minutes=60), CUT)
+    stored = materialise(road(spark, d), "road")
+    return W.build_features(stored, W.FeatureConfig(weather=WEATHER, step_minutes=60), CUT)
 
 
 @query("w21_build_features", sql("road", f"""
