@@ -357,24 +357,31 @@ def _multiplicities(days: int, reps: int, seed: int) -> np.ndarray:
 
 
 def bootstrap_days(
-    df: DataFrame, y: str, score: str, day: str, by: Sequence[str], n: int = 1000, seed: int = 12345
+    df: DataFrame, y: str, score: str, day: str, by: Sequence[str], n: int = 1000, seed: int = 12345,
+    within: Sequence[str] = (),
 ) -> DataFrame:
     """Average precision and AUROC of day-block resamples shared by all groups.
 
+    Days are numbered inside each value of ``within`` (a contrast, part of
+    ``by``), so all groups of a contrast see the same resamples of its days.
+
     The data are reduced once to (group, day, score) counts. Those are cut into
     score bins; a task holds one bin and all replicates as a matrix, starting
     from the totals of the bins above it, so rows are never multiplied by the
     number of replicates. Degenerate resamples are left out; ``rep`` is the key.
     """
-    by = list(by)
-    days = df.select(F.col(day).alias("_day")).distinct()
-    listed = days.select("_day", (F.row_number().over(Window.orderBy("_day")) - 1).alias("_d"))
-    size = days.agg(F.count(F.lit(1)).alias("c")).scalar()
+    by, within = list(by), list(within)
+    days = df.select(*within, F.col(day).alias("_day")).distinct()
+    numbered = Window.partitionBy(*within)
+    listed = days.select(
+        *within, "_day", (F.row_number().over(numbered.orderBy("_day")) - 1).alias("_d"),
+        F.count(F.lit(1)).over(numbered).alias("_days"),
+    )
     hist = (
         df.groupBy(*by, F.col(day).alias("_day"), F.col(score).cast("double").alias("_s"))
         .agg(F.count(F.lit(1)).alias("_n"), F.sum(_flag(y)).alias("_p"))
-        .join(listed, "_day")
-        .select(*by, value_bin("_s", 64).alias("_bin"), "_d", "_s", "_n", "_p", size.alias("_days"))
+        .join(listed, [*within, "_day"])
+        .select(*by, value_bin("_s", 64).alias("_bin"), "_d", "_s", "_n", "_p", "_days")
     )
     key_types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hist.select(*by).schema.fields)
     bins = hist.groupBy(*by, "_bin", "_d", "_days").agg(F.sum("_n").alias("_n"), F.sum("_p").alias("_p"))
