@@ -292,11 +292,11 @@ def sample_rank(df: DataFrame, rank: str, key: str, n: Column, bins: int = 4096)
         .filter(F.col("_rn") == F.col("_need"))
         .agg(F.max(F.struct(F.col(rank).alias("r"), F.col(key).alias("k"))).alias("m"))
     )
-    total = df.agg(F.count(F.lit(1)).alias("c"))
+    total = counts.agg(F.sum("_c").alias("c"))
     here = F.struct(F.col(rank).alias("r"), F.col(key).alias("k"))
     return (
         df.withColumn("_last", last.scalar())
-        .withColumn("_all", total.scalar() <= n)
+        .withColumn("_all", F.coalesce(total.scalar() <= n, F.lit(True)))
         .filter(F.col("_all") | (F.coalesce(here <= F.col("_last"), F.lit(False)) & (n > 0)))
         .drop("_last", "_all")
     )

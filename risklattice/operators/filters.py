@@ -2,6 +2,8 @@
 
 Splits follow time. Positions along time are read from running counts per
 instant, so rows of one instant stay on one side and nothing is sorted globally.
+A split is a comparison with one or a few cut instants found by a subquery: the
+rows themselves are neither joined nor shuffled.
 """
 
 from __future__ import annotations
@@ -109,8 +111,9 @@ def _position(df: DataFrame, ts: str) -> DataFrame:
     return steps.select("_t", (F.col("cum__n") - F.col("_n")).alias("_before"), F.col("tot__n").alias("_total"))
 
 
-def _placed(df: DataFrame, ts: str) -> DataFrame:
-    return df.withColumn("_t", epoch_micros(ts)).join(_position(df, ts), "_t").drop("_t")
+def _first_instant(df: DataFrame, ts: str, reached: Column) -> Column:
+    """Scalar: first instant whose (``_before``, ``_total``) meets a condition."""
+    return _position(df, ts).filter(reached).agg(F.min("_t").alias("t")).scalar()
 
 
 def split_tail_days(df: DataFrame, ts: str, frac: float = 0.2, out: str = "held") -> DataFrame:
@@ -124,10 +127,10 @@ def split_tail_days(df: DataFrame, ts: str, frac: float = 0.2, out: str = "held"
     n = per_day.select(F.sum("_n")).scalar()
     marked = per_day.select("_day", (F.coalesce(F.sum("_n").over(later), F.lit(0)) < n * frac).alias("_held"))
     usable = marked.select((F.count(F.lit(1)) >= 3) & ~F.bool_and("_held")).scalar()
-    placed = _placed(df.withColumn("_day", F.to_date(ts)), ts).join(marked, "_day")
-    cut = F.bround(F.col("_total") * (1 - frac))
-    held = F.when(usable, F.col("_held")).otherwise(F.col("_before") >= cut)
-    return placed.select(*df.columns, held.cast("int").alias(out))
+    from_day = marked.filter("_held").select(F.min("_day")).scalar()
+    cut = _first_instant(df, ts, F.col("_before") >= F.bround(F.col("_total") * (1 - frac)))
+    held = F.when(usable, F.to_date(ts) >= from_day).otherwise(F.coalesce(epoch_micros(ts) >= cut, F.lit(False)))
+    return df.withColumn(out, held.cast("int"))
 
 
 def split_per_location(df: DataFrame, keys: Sequence[str], ts: str, frac: float = 0.8, out: str = "train") -> DataFrame:
@@ -139,9 +142,10 @@ def split_per_location(df: DataFrame, keys: Sequence[str], ts: str, frac: float
 
 def time_folds(df: DataFrame, ts: str, k: int = 3, out: str = "fold") -> DataFrame:
     """Block number 0…k of each row along time; fold i trains on blocks < i, tests on i."""
-    placed = _placed(df, ts)
-    fold = F.floor(F.col("_before") * (k + 1) / F.col("_total"))
-    return placed.select(*df.columns, F.least(fold, F.lit(k)).cast("int").alias(out))
+    bounds = fold_bounds(df, ts, k).agg(F.collect_list(F.struct("start", "fold")).alias("b")).scalar()
+    passed = F.filter(F.col("_b"), lambda b: b["start"] <= F.col("_t"))
+    placed = df.withColumn("_b", bounds).withColumn("_t", epoch_micros(ts))
+    return placed.select(*df.columns, F.array_max(F.transform(passed, lambda b: b["fold"])).alias(out))
 
 
 def fold_bounds(df: DataFrame, ts: str, k: int = 3) -> DataFrame:
@@ -162,10 +166,12 @@ def split_quantile(df: DataFrame, ts: str, q: float = 0.8, out: str = "train") -
 
 def split_three(df: DataFrame, ts: str, fracs: tuple[float, float] = (0.7, 0.1), out: str = "part") -> DataFrame:
     """train, calibration and test along time by share of rows."""
-    placed = _placed(df, ts)
     share = F.col("_before") / F.col("_total")
-    part = F.when(share < fracs[0], "train").when(share < fracs[0] + fracs[1], "calibration").otherwise("test")
-    return placed.select(*df.columns, part.alias(out))
+    t, never = epoch_micros(ts), F.lit((1 << 63) - 1)
+    first = F.coalesce(_first_instant(df, ts, share >= fracs[0]), never)
+    second = F.coalesce(_first_instant(df, ts, share >= fracs[0] + fracs[1]), never)
+    part = F.when(t < first, "train").when(t < second, "calibration").otherwise("test")
+    return df.withColumn(out, part)
 
 
 def split_tail_or_stratified(
@@ -175,14 +181,16 @@ def split_tail_or_stratified(
 
     Otherwise a seeded hash of the key holds out the same share of each class.
     """
-    placed = _placed(df, ts)
-    tail = F.col("_before") >= F.floor(F.col("_total") * (1 - frac))
-    both = placed.select(
-        (F.count(F.when(tail & (F.col(y) == 1), 1)) >= min_pos)
-        & (F.count(F.when(~tail & (F.col(y) == 1), 1)) >= min_pos)
+    tail = epoch_micros(ts) >= _first_instant(df, ts, F.col("_before") >= F.floor(F.col("_total") * (1 - frac)))
+    marked = df.withColumn("_tail", tail)
+    both = marked.select(
+        (F.count(F.when(F.col("_tail") & (F.col(y) == 1), 1)) >= min_pos)
+        & (F.count(F.when(~F.col("_tail") & (F.col(y) == 1), 1)) >= min_pos)
     ).scalar()
-    hashed = df.select(F.col(y).alias("_y"), mix(key, seed).alias("_h"), F.lit(1).cast("long").alias("_n"))
+    hashed = df.select(F.col(y).cast("int").alias("_y"), mix(key, seed).alias("_h"), F.lit(1).cast("long").alias("_n"))
     ranks = ordered_prefix(hashed, ["_y"], "_h", ["_n"])
-    ranks = ranks.select("_y", "_h", (F.col("cum__n") <= F.bround(F.col("tot__n") * frac)).alias("_pick"))
-    joined = placed.withColumn("_y", F.col(y)).withColumn("_h", mix(key, seed)).join(ranks, ["_y", "_h"])
-    return joined.select(*df.columns, F.when(both, tail).otherwise(F.col("_pick")).cast("int").alias(out))
+    last = ranks.filter(F.col("cum__n") <= F.bround(F.col("tot__n") * frac)).groupBy("_y").agg(F.max("_h").alias("_m"))
+    limits = last.agg(F.map_from_entries(F.collect_list(F.struct("_y", "_m"))).alias("m")).scalar()
+    pick = F.coalesce(mix(key, seed) <= F.try_element_at(limits, F.col(y).cast("int")), F.lit(False))
+    held = F.when(both, F.col("_tail")).otherwise(pick)
+    return marked.withColumn(out, held.cast("int")).drop("_tail")

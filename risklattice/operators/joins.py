@@ -174,13 +174,15 @@ def assign_incident(
     tolerance: int = 2,
     lead_minutes: int = 0,
     band_width: int = 16,
+    match: Column | None = None,
 ) -> DataFrame:
     """Lowest incident whose footprint holds a cell, with minutes from its onset.
 
     Incidents are listed under each (day, position band) they touch; a cell has
     exactly one, so the range condition is checked only against nearby
     incidents. ``lead_minutes`` widens the match before the onset, where the
-    minutes are negative. Cells without a match keep nulls; ``key`` is unique.
+    minutes are negative. ``match`` names the cells to assign, usually the
+    positives. Cells without a match keep nulls; ``key`` is unique.
     """
     start = F.col("tmin") - F.make_dt_interval(mins=F.lit(lead_minutes))
     low, high = F.col("pkmin") - tolerance, F.col("pkmax") + tolerance
@@ -194,7 +196,7 @@ def assign_incident(
         .withColumn("_band", F.explode("_bands"))
         .drop("_bands")
     )
-    placed = cells.select(
+    placed = (cells if match is None else cells.filter(match)).select(
         key, direction, ts, pos, F.to_date(ts).alias("_day"),
         F.floor(F.col(pos) / band_width).cast("long").alias("_band"),
     )

@@ -289,10 +289,14 @@ def oof_scores(
 
     Folds are equal parts of each class in hash order.
     """
-    hashed = df.withColumn("_y", F.col(y)).withColumn("_h", scatter(key, seed))
-    ranks = ordered_prefix(hashed.select("_y", "_h", F.lit(1).cast("long").alias("_n")), ["_y"], "_h", ["_n"])
-    fold = ((F.col("cum__n") - 1) % folds).cast("int")
-    placed = hashed.join(ranks.select("_y", "_h", fold.alias("_fold")), ["_y", "_h"]).drop("_y", "_h")
+    hashed = df.select(F.col(y).cast("int").alias("_y"), scatter(key, seed).alias("_h"), F.lit(1).cast("long").alias("_n"))
+    ranks = ordered_prefix(hashed, ["_y"], "_h", ["_n"])
+    part = F.floor((F.col("cum__n") - F.col("_n")) * folds / F.col("tot__n")).cast("int")
+    starts = ranks.groupBy("_y", part.alias("_fold")).agg(F.min("_h").alias("_start"))
+    bounds = starts.agg(F.collect_list(F.struct("_y", "_start", "_fold")).alias("b")).scalar()
+    passed = F.filter("_b", lambda b: (b["_y"] == F.col(y)) & (b["_start"] <= F.col("_h")))
+    placed = df.withColumn("_b", bounds).withColumn("_h", scatter(key, seed))
+    placed = placed.withColumn("_fold", F.array_max(F.transform(passed, lambda b: b["_fold"]))).drop("_b", "_h")
     out = None
     for i in range(folds):
         scorer = fit_bagging(placed.filter(F.col("_fold") != i), features, y, key, members, ratio, seed + 100 * i, **options)

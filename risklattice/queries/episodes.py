@@ -168,9 +168,7 @@ def l10(spark, d):
 
 def assigned(spark, d):
     cells = V.scores(spark, d).select("event_id", "dir", "pos", F.col("ts").alias("t"), "y", "pb")
-    return J.assign_incident(cells, incidents(spark, d), "dir", "t", "pos", "event_id", lead_minutes=60).select(
-        "event_id", "dir", "pos", "t", "y", "pb", F.when(F.col("y") == 1, F.col("incident_id")).alias("incident_id"),
-        F.when(F.col("y") == 1, F.col("mins_from_onset")).alias("mins_from_onset"))
+    return J.assign_incident(cells, incidents(spark, d), "dir", "t", "pos", "event_id", lead_minutes=60, match=F.col("y") == 1)
 
 
 ASSIGNED_SQL = ", " + INCIDENTS_SQL + """,
