@@ -203,6 +203,6 @@ def l11(spark, d):
     k as (select pb as score, case when y = 1 and mins < 0 then 1 else 0 end as y from a where not (y = 1 and coalesce(mins >= 0, false))),
     g as (select score, count(*) as n, sum(y) as p from k group by score),
     c as (select *, sum(n) over w as cn, sum(p) over w as cp from g window w as (order by score desc))
-    select cast(sum(n) as bigint) as n, cast(sum(p) as bigint) as pos, round(sum(p * cp / cast(cn as double)) / sum(p), 6) as ap from c"""))
+    select cast(sum(n) as bigint) as n, cast(sum(p) as bigint) as pos, round(sum(p * cp / cast(cn as double)) / nullif(sum(p), 0), 6) as ap from c"""))
 def l12(spark, d):
     return rounded(EP.pre_onset_ap(assigned(spark, d), "y", "pb"), "ap")
