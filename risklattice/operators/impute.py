@@ -100,7 +100,8 @@ def calibrate_decay(
     by their maxima) 0.4. Several sensors of a section are averaged.
     """
     q95 = exact_quantiles(stats, [], cv, {"q": 0.95}).scalar()
-    flow_part = F.least(F.col(cv) / (q95 + EPSILON), F.lit(1.0))
+    # a sensor with a single reading has no variation and sets no decay
+    flow_part = F.when(F.col(cv).isNotNull(), F.least(F.col(cv) / (q95 + EPSILON), F.lit(1.0)))
     geo_part = F.lit(0.0)
     for weight, c in zip((0.5, 0.25, 0.25), geometry):
         top = stats.select(F.max(c)).scalar()
