@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding, simhash
+from . import chat, sharding, simhash, sketch
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,10 +17,23 @@ def op2_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_typed_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = F.lit(r"\### Assistant: </turn> ok")
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), hard.alias("text"))
+    return chat.digests(chat.format_chats(turns.union(extra)))
+
+
+def op9_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_rendezvous_shards, op10_simhash)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_rendezvous_shards, op4_typed_chat, op9_bottom_k, op10_simhash)}
 ORACLES: dict[str, str] = {}

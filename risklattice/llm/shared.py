@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import and_
 
@@ -20,6 +20,11 @@ def code(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *spelled)), 1, 13), 16, 10).cast("long")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def running_total(df: DataFrame, group: Sequence[str], bucket: str, order: Sequence[str], size: str, out: str) -> DataFrame:
     """Sum of ``size`` over all earlier rows of the group, where order is (bucket, *order).
 
