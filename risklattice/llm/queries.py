@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, sharding, simhash, sketch
+from risklattice.session import scratch_path
+
+from . import chat, language, licenses, records, sharding, simhash, sketch
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +20,11 @@ def op2_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_fuzzy_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_documents(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.size("spans").alias("n_spans"))
+
+
 def op4_typed_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = F.lit(r"\### Assistant: </turn> ok")
@@ -26,6 +34,18 @@ def op4_typed_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(turns.union(extra)))
 
 
+def op5_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.predict(docs, language.fit(docs))
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected", "cluster")
+
+
+def op6_framed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "records")
+    records.write_records(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return records.read_records(spark, path, ids=False)
+
+
 def op9_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -35,5 +55,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_rendezvous_shards, op4_typed_chat, op9_bottom_k, op10_simhash)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_rendezvous_shards, op3_fuzzy_notices, op4_typed_chat, op5_nearest_centroid, op6_framed_tokens, op9_bottom_k, op10_simhash)}
 ORACLES: dict[str, str] = {}
