@@ -25,17 +25,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def running_total(df: DataFrame, group: Sequence[str], bucket: str, order: Sequence[str], size: str, out: str) -> DataFrame:
-    """Sum of ``size`` over all earlier rows of the group, where order is (bucket, *order).
+def running_total(df: DataFrame, group: Sequence[str], bucket: str, order: Sequence[str], size: str, out: str, coarse: int = 1024) -> DataFrame:
+    """Sum of ``size`` over all earlier rows of the group, where order is (bucket, *order); buckets are numbers.
 
-    No group is sorted in one task: rows add up inside their bucket, and totals of the buckets, a table whose length is the
-    number of buckets, give each bucket its start.
+    No group is sorted in one task: rows add up inside their bucket, buckets inside blocks of ``coarse``, and the blocks'
+    totals give each block its start.
     """
     keys = [*group, bucket]
     totals = df.groupBy(*keys).agg(F.sum(size).alias("total__"))
-    before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.withColumn("start__", F.coalesce(F.sum("total__").over(before), F.lit(0)))
-    starts = starts.select(*[F.col(k).alias(f"{k}__") for k in keys], "start__")
+    if coarse:  # the buckets are numbers, and many: they are added up in blocks first
+        blocks = totals.withColumn("block__", F.floor(F.col(bucket) / coarse))
+        starts = running_total(blocks, group, "block__", [bucket], "total__", "begin__", coarse=0)
+        starts = starts.select(*[F.col(k).alias(f"{k}__") for k in keys], F.col("begin__").alias("start__"))
+    else:
+        before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+        starts = totals.withColumn("start__", F.coalesce(F.sum("total__").over(before), F.lit(0)))
+        starts = starts.select(*[F.col(k).alias(f"{k}__") for k in keys], "start__")
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     own = df.withColumn("own__", F.coalesce(F.sum(size).over(inside), F.lit(0)))
     same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"{k}__")) for k in keys])
