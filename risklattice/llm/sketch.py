@@ -117,16 +117,18 @@ def edited_fingerprints(docs: DataFrame, size: int = SIZE, shingle: int = SHINGL
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select("doc_id", text.alias("text"), row_key(F.col("doc_id"), text).alias("key"))
     asked = successors(docs).select(F.col("next_key").alias("key"), F.col("key").alias("asker"), "half")
-    answers = keyed.join(asked, "key").select("asker", F.expr("substring(text, 1, half)").alias("tail"), make(F.col("text")).alias("next_sketch"))
-    answers = answers.groupBy("asker").agg(F.first(F.struct("tail", "next_sketch")).alias("answer"))
+    answers = keyed.join(asked, "key").select(
+        "asker", F.col("doc_id").alias("next_id"), F.expr("substring(text, 1, half)").alias("tail"), make(F.col("text")).alias("next_sketch"))
+    # next_id also keeps both uses of ``keyed`` alike, so that texts are shuffled once for both.
+    answers = answers.groupBy("asker").agg(F.first(F.struct("next_id", "tail", "next_sketch")).alias("answer"))
     told = keyed.join(answers, F.col("key") == F.col("asker"))
     n = F.length("text")
     edited = told.select(
-        "doc_id", n.cast("long").alias("n_chars"), "text", F.col("answer.next_sketch").alias("next_sketch"),
+        "doc_id", n.cast("long").alias("n_chars"), "text", F.col("answer.next_id").alias("next_id"), F.col("answer.next_sketch").alias("next_sketch"),
         F.concat(F.expr("substring(text, 1, length(text) - length(text) div 2)"), F.col("answer.tail")).alias("edited"))
     marked = edited.withColumn("own", make(F.col("text"))).withColumn("changed", make(F.col("edited")))
     return marked.select(
         "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), spelled(F.col("own")).alias("fingerprint"),
         spelled(F.col("changed")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("changed"), size).alias("near_edited"),
         likeness(F.col("own"), F.col("next_sketch"), size).alias("near_next"),
-        containment(F.col("own"), F.col("changed"), size).alias("contained_in_edited"), distinct_count(F.col("own"), size).alias("n_shingles"))
+        containment(F.col("own"), F.col("changed"), size).alias("contained_in_edited"), distinct_count(F.col("own"), size).alias("n_shingles"), "next_id")
