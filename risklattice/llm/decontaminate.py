@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import let
+from .shared import let, row_id
 
 MASKS = ("1111011", "111010011")
 WINDOW, SHARE = 13, 0.8
@@ -102,8 +102,6 @@ def overlaps(
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """Rows of ``docs`` that share no passage with any item, with all their columns."""
-    columns = docs.columns
-    key = F.struct(F.col("doc_id"), F.xxhash64(*columns).alias("row"))
-    found = overlaps(docs.select(key.alias("doc_id"), "text"), benchmark, **how).select(F.col("doc_id").alias("key__")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("key__.doc_id")) & (F.xxhash64(*[F.col(c) for c in columns]) == F.col("key__.row"))
-    return docs.join(found, same, "left_anti")
+    tagged = docs.withColumn("row__", row_id(docs))
+    found = overlaps(tagged.select(F.col("row__").alias("doc_id"), "text"), benchmark, **how).select(F.col("doc_id").alias("found__")).distinct()
+    return tagged.join(found, F.col("row__") == F.col("found__"), "left_anti").select(*docs.columns)

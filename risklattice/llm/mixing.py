@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import code, let, running_total
+from .shared import code, let, row_id, running_total
 
 
 def weights_by_size(docs: DataFrame, power: float = 0.5, resolution: int = 1000) -> DataFrame:
@@ -77,9 +77,8 @@ def in_order(docs: DataFrame, weights: DataFrame, block: int = 64, seed: int = 1
 
     Rows that agree in all columns take one place after the other.
     """
-    columns = docs.columns
-    tagged = docs.withColumn("row__", F.xxhash64(*columns))
-    planned = mix(tagged.select(F.struct("doc_id", "row__").alias("doc_id"), "source"), weights, block, seed)
-    first = planned.groupBy("doc_id").agg(F.min("position").alias("position__")).withColumnRenamed("doc_id", "key__")
-    same = F.col("doc_id").eqNullSafe(F.col("key__.doc_id")) & (F.col("row__") == F.col("key__.row__"))
-    return tagged.join(first, same).repartitionByRange("position__").sortWithinPartitions("position__").select(*columns)
+    tagged = docs.withColumn("row__", row_id(docs))
+    planned = mix(tagged.select(F.col("row__").alias("doc_id"), "source"), weights, block, seed)
+    first = planned.groupBy(F.col("doc_id").alias("planned__")).agg(F.min("position").alias("position__"))
+    placed = tagged.join(first, F.col("row__") == F.col("planned__"))
+    return placed.repartitionByRange("position__").sortWithinPartitions("position__").select(*docs.columns)

@@ -20,6 +20,11 @@ def code(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *spelled)), 1, 13), 16, 10).cast("long")
 
 
+def row_id(df: DataFrame) -> Column:
+    """A name for each row, never null, by its doc_id and a hash of all its columns: rows of one name are copies."""
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.hex(F.xxhash64(*[F.col(c) for c in df.columns])))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, which is computed once however often the body names it."""
     return F.get(F.transform(F.array(value), body), 0)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from risklattice.session import materialise
 
 from .components import components
+from .shared import row_id
 
 BITS, SEGMENTS = 64, 8
 WIDTH = BITS // SEGMENTS
@@ -210,10 +211,8 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
 
     Rows that agree in doc_id are told apart by their other columns' hash, and rows that agree in everything are one.
     """
-    columns = docs.columns
-    tagged = docs.withColumn("row__", F.xxhash64(*columns))
+    tagged = docs.withColumn("row__", row_id(docs))
     groups = near_duplicates(tagged.select(F.struct("doc_id", "row__").alias("doc_id"), "text"), **how)
-    kept = groups.select(F.col("component_id").alias("kept__")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("kept__.doc_id")) & (F.col("row__") == F.col("kept__.row__"))
-    one = tagged.join(kept, same, "left_semi")
-    return one.dropDuplicates(["doc_id", "row__"]).select(*columns)
+    kept = groups.select(F.col("component_id.row__").alias("kept__")).distinct()
+    one = tagged.join(kept, F.col("row__") == F.col("kept__"), "left_semi")
+    return one.dropDuplicates(["row__"]).select(*docs.columns)
