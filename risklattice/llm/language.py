@@ -16,7 +16,11 @@ _LETTERS: np.ndarray | None = None
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample_rows`` bounds the labelled rows that the model is fitted on, shared out over the languages."""
+    """``sample_rows`` bounds the labelled rows that the model is fitted on, shared out over the languages.
+
+    A text is rejected below ``slack`` times the smallest cosine of its nearest language's sample, or below ``sure`` where
+    that is less.
+    """
 
     dimensions: int = 4096
     longest: int = 3
@@ -24,6 +28,7 @@ class Settings:
     sample_rows: int = 1600
     rounds: int = 20
     slack: float = 0.4
+    sure: float = 0.15
     seed: int = 17
 
 
@@ -132,7 +137,7 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
         found = cluster(own, settings.clusters, settings.rounds)
         names += [lang] * len(found)
         centroids += list(found)
-        least += [settings.slack * float((own @ found.T).max(1).min())] * len(found)
+        least += [min(settings.sure, settings.slack * float((own @ found.T).max(1).min()))] * len(found)
     return Model(tuple(names), np.stack(centroids) if centroids else np.zeros((0, d), np.float32), idf, np.array(least), settings)
 
 
