@@ -84,13 +84,13 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact linearly interpolated quantiles, one output column per entry.
 
-    Nulls are ignored. Rows are first counted per value bin, with map-side
+    Nulls and NaN are ignored. Rows are first counted per value bin, with map-side
     combining; the counts tell which few bins hold the wanted ranks, and only
     the rows of those bins are counted by value and ordered. Neither a group nor
     its distinct values are ever held in one buffer, as ``percentile`` does.
     """
     by = list(by)
-    rows = df.filter(F.col(value).isNotNull()).select(*by, value, value_bin(value).alias("_bin"))
+    rows = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*by, value, value_bin(value).alias("_bin"))
     group = Window.partitionBy(*by)
     upto = group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
     bins = rows.groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("_c"))

@@ -98,11 +98,9 @@ def free_flow(df: DataFrame, pos: Sequence[str], speed: str, q: float = 0.85, ou
     return exact_quantiles(df, pos, speed, {out: q})
 
 
-def coarsen_hour(df: DataFrame, hour: str) -> DataFrame:
-    """Reduce a sub-hourly slot index to hours when it has more than 30 values."""
-    n = df.select(F.countDistinct(hour)).scalar()
-    per_hour = F.greatest(ONE(1), F.bround(n / 24).cast("int"))
-    return df.withColumn(hour, F.floor(F.col(hour) / F.when(n > 30, per_hour).otherwise(1)).cast("int"))
+def coarsen_hour(df: DataFrame, hour: str, slots_per_hour: int = 1) -> DataFrame:
+    """Reduce a slot index with so many slots per hour to hours."""
+    return df.withColumn(hour, F.floor(F.col(hour) / slots_per_hour).cast("int"))
 
 
 def eb_rate(df: DataFrame, keys: Sequence[str], label: str, m: float = 200.0) -> DataFrame:

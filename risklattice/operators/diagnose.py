@@ -221,16 +221,18 @@ def nearest(
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def nn_distance(df: DataFrame, key: str, vec: str, y: str, k: int = 5, per_positive: int = 5, seed: int = 42) -> DataFrame:
+def nn_distance(df: DataFrame, key: str, vec: str, y: str, k: int = 5, per_positive: int | None = None, seed: int = 42) -> DataFrame:
     """Nearest-neighbour distances between the classes: (kind, key, distance, rank).
 
     pos_to_neg: ``k`` nearest negatives of every positive. neg_to_pos: nearest
-    positive of every negative. neg_to_neg: nearest other negative of a seeded
-    sample of ``per_positive`` negatives per positive.
+    positive of every negative. neg_to_neg: nearest other negative of every
+    negative, or of a seeded sample of ``per_positive`` of them per positive.
     """
     pos, neg = df.filter(F.col(y) == 1), df.filter(F.col(y) == 0)
-    n_pos = pos.agg(F.count(F.lit(1)) * per_positive).scalar()
-    sample = sample_rank(neg.withColumn("_h", mix(key, seed)), "_h", key, n_pos)
+    sample = neg
+    if per_positive is not None:
+        n_pos = pos.agg(F.count(F.lit(1)) * per_positive).scalar()
+        sample = sample_rank(neg.withColumn("_h", mix(key, seed)), "_h", key, n_pos)
     parts = {
         "pos_to_neg": nearest(pos, neg, key, vec, k),
         "neg_to_pos": nearest(neg, pos, key, vec, 1),
@@ -251,20 +253,13 @@ def overlap_curve(df: DataFrame, distance: str, by: Sequence[str] = ()) -> DataF
 
 
 def pca_partitions(
-    df: DataFrame, features: Sequence[str], key: str, outcome: str = "outcome", negatives: int = 5000, seed: int = 0
+    df: DataFrame, features: Sequence[str], key: str, outcome: str = "outcome"
 ) -> DataFrame:
-    """Two principal components of the standardised features.
-
-    The plane is fitted on all positives and errors and up to ``negatives``
-    true negatives, and these rows are returned. Fits run jobs.
-    """
+    """Two principal components of the standardised features, fitted on all rows and given for all. Fits run jobs."""
     filled = df.select(key, outcome, *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features])
     vectors = VectorAssembler(inputCols=list(features), outputCol="_raw").transform(filled)
     scaled = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True).fit(vectors).transform(vectors)
-    quiet = scaled.filter(F.col(outcome) == "TN").withColumn("_h", mix(key, seed))
-    sample = sample_rank(quiet, "_h", key, F.lit(negatives)).drop("_h")
-    kept = scaled.filter(F.col(outcome) != "TN").unionByName(sample)
-    plane = PCA(k=2, inputCol="_x", outputCol="_pc").fit(kept).transform(kept)
+    plane = PCA(k=2, inputCol="_x", outputCol="_pc").fit(scaled).transform(scaled)
     xy = vector_to_array("_pc")
     return plane.select(key, outcome, F.get(xy, F.lit(0)).alias("pc1"), F.get(xy, F.lit(1)).alias("pc2"))
 
@@ -315,17 +310,17 @@ def permutation_importance(
 
 
 def partial_dependence(
-    score, df: DataFrame, feature: str, key: str, points: int = 18, sample: int = 40_000, seed: int = 1, out: str = "prob"
+    score, df: DataFrame, feature: str, key: str, points: int = 18, sample: int | None = None, seed: int = 1, out: str = "prob"
 ) -> DataFrame:
     """Mean score with the feature set to each of a few quantiles of itself.
 
-    The grid and the number of sampled rows are fixed by the caller; each
-    sampled row is expanded over the grid by an array, not by a join.
+    The mean is over all rows, or ``sample`` of them if given; each row is
+    expanded over the grid by an array, not by a join.
     """
     qs = {f"q{i}": 0.02 + 0.96 * i / (points - 1) for i in range(points)}
     ends = exact_quantiles(df, [], feature, qs)
     grid = ends.select(F.array_sort(F.array_distinct(F.array(*[F.col(q) for q in qs])))).scalar()
-    rows = sample_rank(df.withColumn("_h", mix(key, seed)), "_h", key, F.lit(sample)).drop("_h")
+    rows = df if sample is None else sample_rank(df.withColumn("_h", mix(key, seed)), "_h", key, F.lit(sample)).drop("_h")
     spread = rows.withColumn("grid", F.explode(grid)).withColumn(feature, F.col("grid"))
     return score(spread).groupBy("grid").agg(F.avg(out).alias("mean_score"), F.count(F.lit(1)).alias("n"))
 

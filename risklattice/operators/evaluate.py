@@ -48,10 +48,9 @@ def prf(counts: DataFrame) -> DataFrame:
     """
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     out = counts.withColumn("precision", _ratio(tp, tp + fp)).withColumn("recall", _ratio(tp, tp + fn))
-    p, r = F.col("precision"), F.col("recall")
     return (
-        out.withColumn("f1", _ratio(2 * p * r, p + r))
-        .withColumn("f2", _ratio(5 * p * r, 4 * p + r))
+        out.withColumn("f1", _ratio(2 * tp, 2 * tp + fp + fn))
+        .withColumn("f2", _ratio(5 * tp, 5 * tp + fp + 4 * fn))
         .withColumn("far", _ratio(fp, tp + fp))
         .withColumn("fpr", _ratio(fp, fp + tn))
     )
@@ -165,7 +164,6 @@ def _rates(df: DataFrame) -> DataFrame:
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     out = df.withColumn("precision", tp / F.greatest(tp + fp, one))
     out = out.withColumn("recall", tp / F.greatest(tp + fn, one))
-    p, r = F.col("precision"), F.col("recall")
     out = out.withColumn("f1", 2 * p * r / F.greatest(p + r, eps))
     return out.withColumn("f2", 5 * p * r / F.greatest(4 * p + r, eps))
 

@@ -79,13 +79,14 @@ def interpolate(
 
 
 def section_stats(
-    det: DataFrame, keys: Sequence[str], ts: str, flow: str, speed: str, n_ts: int = 1000, seed: int = 42
+    det: DataFrame, keys: Sequence[str], ts: str, flow: str, speed: str, n_ts: int | None = None, seed: int = 42
 ) -> DataFrame:
-    """Flow mean, deviation and variation and mean speed over sampled instants."""
-    instants = det.select(ts).distinct().withColumn("_k", epoch_seconds(ts))
-    instants = instants.withColumn("_h", mix("_k", seed))
-    sampled = sample_rank(instants, "_h", "_k", F.lit(n_ts)).select(ts)
-    out = det.join(sampled, ts, "left_semi").groupBy(*keys).agg(
+    """Flow mean, deviation and variation and mean speed: over all instants, or ``n_ts`` sampled ones if given."""
+    if n_ts is not None:
+        instants = det.select(ts).distinct().withColumn("_k", epoch_seconds(ts))
+        instants = instants.withColumn("_h", mix("_k", seed))
+        det = det.join(sample_rank(instants, "_h", "_k", F.lit(n_ts)).select(ts), ts, "left_semi")
+    out = det.groupBy(*keys).agg(
         F.avg(flow).alias("flow_mean"), F.stddev_samp(flow).alias("flow_std"), F.avg(speed).alias("speed_mean")
     )
     return out.withColumn("flow_cv", F.col("flow_std") / (F.col("flow_mean") + EPSILON))

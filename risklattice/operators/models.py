@@ -20,7 +20,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordered import ordered_prefix, sample_rank, scatter
+from ..functions.ordered import ordered_prefix, running, sample_rank, scatter
 from .aggregate import apply_eb, eb_rate, profile_fit, profile_predict, residual_baseline, residualise, volume_factor
 from .diagnose import nearest
 from .evaluate import average_precision, confusion, operating_point, pr_curve, prf
@@ -51,7 +51,7 @@ def balanced_subset(df: DataFrame, y: str, key: str, ratio: float, seed: int) ->
     return df.filter(F.col(y) == 1).unionByName(sample_rank(negatives, "_h", key, n).drop("_h"))
 
 
-def subsample_negatives(df: DataFrame, y: str, key: str, total: int, seed: int = 0) -> DataFrame:
+def subsample_negatives(df: DataFrame, y: str, key: str, total: int | Column, seed: int = 0) -> DataFrame:
     """All positives and negatives up to ``total`` rows in all."""
     n = df.select(F.greatest(F.lit(0), F.lit(total) - F.count(F.when(F.col(y) == 1, 1))).cast("long")).scalar()
     negatives = df.filter(F.col(y) == 0).withColumn("_h", scatter(key, seed))
@@ -72,9 +72,9 @@ def smote(df: DataFrame, features: Sequence[str], y: str, key: str, k: int = 5,
     near = near.join(pos.select(F.col(key).alias("neighbour"), F.col("_x").alias("_nx")), "neighbour")
     options = near.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rank", "_nx"))).alias("_near"))
     missing = df.select(F.count(F.when(F.col(y) == 0, 1)) - F.count(F.when(F.col(y) == 1, 1))).scalar()
-    ranked = ordered_prefix(
-        pos.select(scatter(key, seed).alias("_h"), F.lit(1).cast("long").alias("_n")), [], "_h", ["_n"])
-    dealt = pos.withColumn("_h", scatter(key, seed)).join(ranked.select("_h", "cum__n", "tot__n"), "_h")
+    hashed = pos.withColumn("_h", scatter(key, seed))
+    dealt = running(hashed, [], ["_h", key], F.floor(F.col("_h") / F.lit(1 << 20)).cast("long"), {"cum__n": F.lit(1)}, totals=True)
+    dealt = dealt.withColumnRenamed("tot_cum__n", "tot__n")
     dealt = dealt.join(options, key).withColumn("_missing", F.greatest(missing, F.lit(0)))
     share = F.floor(F.col("_missing") / F.col("tot__n")) + (
         F.col("cum__n") <= F.col("_missing") % F.col("tot__n")).cast("long")

@@ -39,12 +39,17 @@ def calendar_parts(df: DataFrame, ts: str, step: int = 5) -> DataFrame:
     )
 
 
-def slot_to_minute(df: DataFrame, column: str) -> DataFrame:
-    """Twelve slots per hour → minutes, if no value exceeds 11; else floor to five."""
+def slot_to_minute(df: DataFrame, column: str, unit: str = "guess") -> DataFrame:
+    """Minutes of a column in ``unit``: twelve slots per hour (``slot``) → minutes; ``minute`` → floor to five.
+
+    ``guess`` takes slots if no value of the whole column exceeds 11.
+    """
     x = F.try_to_number(F.col(column), F.lit("99999")) if isinstance(df.schema[column].dataType, T.StringType) else F.col(column)
     number = df.withColumn(column, x.cast("double"))
-    top = number.select(F.max(column)).scalar()
-    minute = F.when(top <= 11, F.col(column) * 5).otherwise(F.floor(F.col(column) / 5) * 5)
+    slots = {"slot": F.lit(True), "minute": F.lit(False)}.get(unit)
+    if slots is None:
+        slots = number.select(F.max(column)).scalar() <= 11
+    minute = F.when(slots, F.col(column) * 5).otherwise(F.floor(F.col(column) / 5) * 5)
     return number.withColumn(column, minute.cast("int"))
 
 
@@ -135,8 +140,8 @@ def split_blocks(features: Sequence[str]) -> dict[str, list[str]]:
 
 def strata(pos: str, hour: str, lowest: Column) -> Column:
     """Code of the 5-km band and 3-hour band of a cell."""
-    band = F.least(F.greatest(F.col(pos) - lowest, F.lit(0)), F.lit(255))
-    return (F.floor(band / 5) * 8 + F.floor(F.col(hour) / 3)).cast("int")
+    band = F.greatest(F.col(pos) - lowest, F.lit(0))
+    return (F.floor(band / 5) * 8 + F.floor(F.col(hour) / 3)).cast("long")
 
 
 def load_scores(
@@ -163,15 +168,19 @@ def one_hot(df: DataFrame, values: dict[str, Sequence], keep: Sequence[str]) ->
     return df.select(*keep, *cols).distinct()
 
 
-def categories(df: DataFrame, column: str, most: int = 1000) -> list:
-    """Sorted distinct values of a categorical column. Runs one action.
+def one_hot_long(df: DataFrame, columns: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """The ones of :func:`one_hot` as rows (keep, feature, value), for columns with any number of values."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in columns])
+    long = df.select(*keep, F.explode(pairs).alias("_p")).select(*keep, "_p.feature", "_p.value")
+    return long.filter(F.col("value").isNotNull()).distinct()
+
+
+def categories(df: DataFrame, column: str) -> list:
+    """Sorted distinct values of a column, to become columns of :func:`one_hot`. Runs one action.
 
-    Refuses columns with more than ``most`` values, which are not categories.
+    The driver holds them as it holds the schema they become; ``one_hot_long`` needs no such list.
     """
-    rows = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"{column} has more than {most} distinct values")
-    return sorted(r[0] for r in rows)
+    return sorted(r[0] for r in df.select(column).filter(F.col(column).isNotNull()).distinct().collect())
 
 
 def substitute_channels(

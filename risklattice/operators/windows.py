@@ -16,9 +16,6 @@ from pyspark.sql.window import WindowSpec
 
 from ..functions.ordered import exact_quantiles, over_blocks, running
 from ..functions.timeparts import band, day_chunk, epoch_seconds
-from .sets import dedup, dedup_prefer
-
-__all__ = ["dedup", "dedup_prefer"]
 
 BLOCK_DAYS = 7
 POSTS_PER_BAND = 256

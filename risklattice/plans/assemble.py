@@ -24,7 +24,7 @@ def propagate_detectors(
     flow: str = "flow",
     heavy: str = "heavy",
     speed_at: str = "target",
-    n_ts: int = 1000,
+    n_ts: int | None = None,
     seed: int = 42,
 ) -> DataFrame:
     """Detector flow carried to every whole post of its section.

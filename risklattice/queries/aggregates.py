@@ -96,7 +96,7 @@ def a07(spark, d):
     from cells, p where t < timestamp '{CUT}' group by pos, hour, dow, p0"""))
 def a08(spark, d):
     train = V.cells(spark, d).filter(f"t < timestamp_ntz'{CUT}'")
-    train = A.coarsen_hour(train, "hour")
+    train = A.coarsen_hour(train, "hour", 1)
     return rounded(A.eb_rate(train, ["pos", "hour", "dow"], "label"), "rate", "p0")
 
 
@@ -133,9 +133,9 @@ def a10(spark, d):
 
 PROFILE_SQL = f"""
     , fine as (select dir, pos, dow, hour, avg(v) as v, avg(flow) as flow from traffic
-               where t < timestamp '{CUT}' and (pos + hour) % 5 > 0 group by all),
+               where t < timestamp '{CUT}' group by all),
     loc as (select dir, pos, avg(v) as v, avg(flow) as flow from traffic
-            where t < timestamp '{CUT}' and (pos + hour) % 5 > 0 group by all),
+            where t < timestamp '{CUT}' group by all),
     pred as (select c.pos, c.dir, c.t, c.v, c.flow, coalesce(f.v, l.v) as v_hat,
            coalesce(f.flow, l.flow) * vol_factor as flow_hat
     from traffic c left join fine f on c.dir = f.dir and c.pos = f.pos and c.dow = f.dow and c.hour = f.hour
@@ -145,7 +145,7 @@ PROFILE_SQL = f"""
 
 def profile_forecast(spark, d):
     prior, recent = _halves(spark, d)
-    fitted = A.profile_fit(prior.filter("(pos + hour) % 5 > 0"), LOC, ["dow", "hour"], ["v", "flow"])
+    fitted = A.profile_fit(prior, LOC, ["dow", "hour"], ["v", "flow"])
     factor = A.volume_factor(prior, recent, LOC, "flow")
     return A.profile_predict(recent, fitted, LOC, ["dow", "hour"], ["v", "flow"], factor, ["flow"])
 

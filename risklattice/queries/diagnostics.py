@@ -86,8 +86,7 @@ CTES["nn"] = (("std_vectors",), """
     select 'pos_to_neg' as kind, vec_id, distance, rank from (select a.vec_id, list_distance(a.vec, b.vec) as distance,
        row_number() over (partition by a.vec_id order by list_distance(a.vec, b.vec), b.vec_id) as rank from std_vectors a, std_vectors b where a.y = 1 and b.y = 0) where rank <= 5
     union all select 'neg_to_pos', a.vec_id, min(list_distance(a.vec, b.vec)), 1 from std_vectors a, std_vectors b where a.y = 0 and b.y = 1 group by a.vec_id
-    union all select 'neg_to_neg', a.vec_id, min(list_distance(a.vec, b.vec)), 1 from std_vectors a, std_vectors b where a.y = 0 and b.y = 0 and a.vec_id <> b.vec_id
-       and a.vec_id in (select vec_id from std_vectors where y = 0 order by (vec_id * 2654435761 + 42 * 40503) % 4294967296 limit 5 * (select count(*) from std_vectors where y = 1)) group by a.vec_id""")
+    union all select 'neg_to_neg', a.vec_id, min(list_distance(a.vec, b.vec)), 1 from std_vectors a, std_vectors b where a.y = 0 and b.y = 0 and a.vec_id <> b.vec_id group by a.vec_id""")
 
 
 def distances(spark, d):

@@ -179,7 +179,7 @@ def e15(spark, d):
     return rounded(E.lift(V.long_scores(spark, d), "y", "score", ["model"]), "base", "ap", "lift")
 
 
-REPS, SEED = 50, 12345
+REPS, SEED = 1000, 12345
 CTES["boot"] = (("long_scores",), f"""
     select model, rep, sum(p * cp / cast(cn as double)) / sum(p) as ap,
            sum(p * (tn - tp - (cn - cp) + (n - p) / cast(2 as double))) / (cast(sum(p) as double) * (max(tn) - max(tp))) as auroc
@@ -219,11 +219,11 @@ def e18(spark, d):
 
 
 @query("e19_common_days", sql("arm_scores registry", """
-    select contrast, day from (select r.contrast, a.day, count(distinct a.key) as k from arm_scores a join registry r on a.key = r.key where a.pred = 1 group by all)
-    join (select r.contrast, count(distinct a.key) as m from arm_scores a join registry r on a.key = r.key where a.pred = 1 group by all) using (contrast) where k * 4 >= m and k = m
+    select contrast, day from (select r.contrast, a.day, count(distinct a.key) as k from arm_scores a join registry r on a.key = r.key group by all)
+    join (select r.contrast, count(distinct a.key) as m from arm_scores a join registry r on a.key = r.key group by all) using (contrast) where k * 4 >= m and k = m
     union all select 'hours', day from (select cast(ts as date) as day, count(distinct user_id % 5) as k from events group by 1) where k = 5"""))
 def e19(spark, d):
-    arms = V.arm_scores(spark, d).filter("pred = 1").join(V.registry(spark, d).select("key", "contrast"), "key")
+    arms = V.arm_scores(spark, d).join(V.registry(spark, d).select("key", "contrast"), "key")
     by_contrast = E.common_days(arms, ["contrast"], "key", "day")
     rows = V.table(spark, d, "events").select((F.col("user_id") % 5).alias("m"), F.to_date("ts").alias("day"))
     return by_contrast.unionByName(E.common_days(rows, [], "m", "day").select(F.lit("hours").alias("contrast"), "day"))

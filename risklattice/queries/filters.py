@@ -62,11 +62,11 @@ def f06(spark, d):
 
 
 @query("f07_split_tail_days", """
-    with days as (select cast(l_shipdate as date) as day, count(*) as n from lineitem where l_quantity > 12 group by 1),
+    with days as (select cast(l_shipdate as date) as day, count(*) as n from lineitem group by 1),
     h as (select day, coalesce(sum(n) over (order by day desc rows between unbounded preceding and 1 preceding), 0) < sum(n) over () * 0.2 as held from days)
-    select l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(held as integer) as held from lineitem join h on cast(l_shipdate as date) = day where l_quantity > 12""")
+    select l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(held as integer) as held from lineitem join h on cast(l_shipdate as date) = day""")
 def f07(spark, d):
-    rows = V.table(spark, d, "lineitem").filter("l_quantity > 12").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+    rows = V.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
     return FL.split_tail_days(rows, "l_shipdate", 0.2).drop("l_shipdate")
 
 

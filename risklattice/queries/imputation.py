@@ -47,21 +47,18 @@ def sensed(spark, d):
 
 CTES["sensed"] = (("detector", "section"), """
     select d.*, cast(40 + (d.partkey * 7) % 80 as double) as v, nullif(d.line % 4, 0) as lane,
-           case when d.x <= 10 then 0 when d.x <= 20 then 1 when d.x <= 30 then 2 when d.x <= 40 then 3 when d.x <= 50 then 4 end as k
+           case when d.x <= 10 then 0 when d.x <= 20 then 1 when d.x <= 30 then 2 when d.x <= 40 then 3 when d.x <= 50 then 4 else 5 end as k
     from detector d""")
 CTES["section_stats"] = (("sensed",), """
     select k, dir, avg(q) as flow_mean, stddev_samp(q) as flow_std, avg(v) as speed_mean,
-           stddev_samp(q) / (avg(q) + 0.000001) as flow_cv
-    from sensed where t in (select t from (select distinct t from sensed)
-         order by (cast(epoch(t) as hugeint) % 4294967296 * 2654435761 + 42 * 40503) % 4294967296, epoch(t) limit 1000)
-    group by k, dir""")
+           stddev_samp(q) / (avg(q) + 0.000001) as flow_cv from sensed group by k, dir""")
 CTES["decay"] = (("section_stats",), """
     select k, dir, 0.015 + 0.025 * 0.6 * least(flow_cv / ((select quantile_cont(flow_cv, 0.95) from section_stats) + 0.000001), 1) as alpha
     from section_stats""")
 
 
 def _stats(spark, d):
-    return I.section_stats(sensed(spark, d), ["k", "dir"], "t", "q", "v", 1000, 42)
+    return I.section_stats(sensed(spark, d), ["k", "dir"], "t", "q", "v")
 
 
 @query("c01_section_stats", sql("section_stats", """
@@ -81,7 +78,7 @@ def c02(spark, d):
 
 def propagated(spark, d):
     alphas = I.calibrate_decay(_stats(spark, d), ["k", "dir"])
-    rows = I.attach_decay(sensed(spark, d), alphas.filter("k <> 4"), ["k", "dir"])
+    rows = I.attach_decay(sensed(spark, d), alphas, ["k", "dir"])
     rows = J.expand_section(rows.filter("k is not null"), "lo", "hi", "pos")
     rows = rows.withColumn("dist", F.abs(F.col("pos") - F.col("x")))
     rows = rows.withColumn("vt", F.expr("cast(50 + (partkey + pos) % 60 as double)"))
@@ -94,7 +91,7 @@ CTES["propagated"] = (("sensed", "decay"), """
     from (select *, abs(pos - x) as dist, cast(50 + (partkey + pos) % 60 as double) as vt
           from (select s.*, coalesce(a.alpha, 0.025) as alpha,
                        unnest(generate_series(s.k * 10, s.k * 10 + 10)) as pos
-                from sensed s left join (select * from decay where k <> 4) a on s.k = a.k and s.dir = a.dir where s.k is not null))""")
+                from sensed s left join decay a on s.k = a.k and s.dir = a.dir where s.k is not null))""")
 
 
 @query("c03_propagate_flow", sql("propagated", """

@@ -31,9 +31,11 @@ def m01(spark, d):
 
 @query("m02_subsample_negatives", sql("scores", """
     select y, count(*) as n, count(distinct event_id) as ids from (select * from scores where y = 1
-      union all (select * from scores where y = 0 order by event_id limit 3000 - (select sum(y) from scores))) group by y"""))
+      union all (select * from scores where y = 0 order by event_id limit 3 * (select sum(y) from scores))) group by y"""))
 def m02(spark, d):
-    out = M.subsample_negatives(V.scores(spark, d), "y", "event_id", 3000, 5)
+    rows = V.scores(spark, d)
+    total = rows.select(F.sum("y") * 4).scalar()
+    out = M.subsample_negatives(rows, "y", "event_id", total, 5)
     return out.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("ids"))
 
 

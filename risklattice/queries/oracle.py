@@ -53,7 +53,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         from lineitem"""),
     "section": ((), """
         select distinct k, cast(10 * k as double) as lo, cast(10 * k + 10 as double) as hi
-        from (select cast(floor(l_quantity / 10) as integer) as k from lineitem) where k < 5"""),
+        from (select cast(floor(l_quantity / 10) as integer) as k from lineitem)"""),
     "calendar": ((), """
         select cast(o_orderdate as date) as day,
                max(case when o_orderpriority = '1-URGENT' then 1 else 0 end) as special
@@ -72,13 +72,16 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                      'arm ' || s_name as label, 'g' || cast(s_suppkey % 7 as varchar) as gnn,
                      cast(s_suppkey % 9 as integer) as arch, s_suppkey % 2 = 0 as active_graph,
                      case s_suppkey % 11 when 3 then 'excluded' when 5 then 'data_quantity' end
-                       as role from supplier) b"""),
+                       as role from supplier
+              union all select 'N' || cast(n_nationkey as varchar), 1000000000 + n_nationkey,
+                     'C' || cast(n_nationkey % 4 as varchar), 'arm ' || n_name, 'g' || cast(n_nationkey % 7 as varchar),
+                     cast(n_nationkey % 9 as integer), n_nationkey % 2 = 0, null from nation) b"""),
     "arm_scores": ((), """
         select 'M' || cast(l_suppkey as varchar) as key,
                case when l_returnflag = 'R' then 1 else 0 end as y,
                cast((l_orderkey * 31 + l_partkey * 17) % 1000 as double) / 1000 as score,
                case when l_quantity > 40 then 1 else 0 end as pred,
-               cast(l_shipdate as date) as day from lineitem where l_suppkey % 10 < 8"""),
+               cast(l_shipdate as date) as day from lineitem"""),
     "pairs": ((), "select doc_id, toxic as y, 1 - quality as pred from labels"),
     "vectors": ((), """
         select vec_id, embedding, case when label = 0 then 1 else 0 end as y from embeddings"""),

@@ -76,15 +76,14 @@ def weekly(spark, d):
 
 
 @query("e24_rolling_origin", """
-    with s as (select strftime(l_shipdate, '%Y-%m') as fold, l_extendedprice as score, count(*) as n, sum(case when l_returnflag = 'R' then 1 else 0 end) as p from lineitem
-               where year(l_shipdate) <> 1998 group by all),
+    with s as (select strftime(l_shipdate, '%Y-%m') as fold, l_extendedprice as score, count(*) as n, sum(case when l_returnflag = 'R' then 1 else 0 end) as p from lineitem group by all),
     c as (select *, sum(n) over w as cn, sum(p) over w as cp, sum(n) over (partition by fold) as tn, sum(p) over (partition by fold) as tp from s window w as (partition by fold order by score desc)),
     q as (select fold, cast(max(tn) as bigint) as n, cast(max(tp) as bigint) as pos, max(tp) / cast(max(tn) as double) as base, sum(p * cp / cast(cn as double)) / max(tp) as ap from c group by fold having max(tp) > 0),
     f as (select distinct strftime(o_orderdate, '%Y-%m') as fold from orders)
     select f.fold, n, pos, round(base, 6) as base, round(ap, 6) as ap, round(ap / base, 6) as lift, case when ap is null then 'PENDING' else 'OK' end as status
     from f left join q on f.fold = q.fold""")
 def e24(spark, d):
-    rows = V.table(spark, d, "lineitem").filter("year(l_shipdate) <> 1998").select(
+    rows = V.table(spark, d, "lineitem").select(
         "l_shipdate", (F.col("l_returnflag") == "R").cast("int").alias("y"), "l_extendedprice")
     folds = V.table(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("fold")).distinct()
     return rounded(R.rolling_origin(rows, folds, "l_shipdate", "y", "l_extendedprice"), "base", "ap", "lift")

@@ -68,7 +68,7 @@ def _store_rows(spark, d):
 
 
 @query("s06_prediction_store", sql("long_scores", """
-    select cast(pos as smallint) as pk, cast(dir as tinyint) as sen, ts as dat, cast(y as tinyint) as y,
+    select cast(pos as integer) as pk, cast(dir as integer) as sen, ts as dat, cast(y as tinyint) as y,
            round(cast(cast(score as float) as double), 6) as prob,
            cast(case when score >= 0.5 then 1 else 0 end as tinyint) as pred_binary, model as model_key
     from long_scores where model = 'pb'"""))

@@ -139,7 +139,7 @@ def detector(spark: SparkSession, d: str) -> DataFrame:
 def section(spark: SparkSession, d: str) -> DataFrame:
     """Touching closed sections [10k, 10k+10] that cover the positions present."""
     spans = table(spark, d, "lineitem").select(F.expr("cast(floor(l_quantity / 10) as int)").alias("k"))
-    return spans.filter("k < 5").distinct().select(
+    return spans.distinct().select(
         "k", F.expr("cast(10 * k as double)").alias("lo"), F.expr("cast(10 * k + 10 as double)").alias("hi")
     )
 
@@ -169,7 +169,7 @@ def geometry(spark: SparkSession, d: str) -> DataFrame:
 
 
 def registry(spark: SparkSession, d: str) -> DataFrame:
-    """Run registry with one entry per supplier, contrasts by nation."""
+    """Run registry with one entry per supplier, and one without scores per nation; contrasts by nation."""
     base = table(spark, d, "supplier").select(
         F.concat(F.lit("M"), F.col("s_suppkey").cast("string")).alias("key"),
         F.col("s_suppkey").alias("id"),
@@ -182,6 +182,17 @@ def registry(spark: SparkSession, d: str) -> DataFrame:
             "case s_suppkey % 11 when 3 then 'excluded' when 5 then 'data_quantity' end"
         ).alias("role"),
     )
+    pending = table(spark, d, "nation").select(
+        F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("key"),
+        (F.lit(1_000_000_000) + F.col("n_nationkey")).cast(base.schema["id"].dataType).alias("id"),
+        F.concat(F.lit("C"), F.expr("cast(n_nationkey % 4 as string)")).alias("contrast"),
+        F.concat(F.lit("arm "), F.col("n_name")).alias("label"),
+        F.expr("concat('g', cast(n_nationkey % 7 as string))").alias("gnn"),
+        F.expr("cast(n_nationkey % 9 as int)").alias("arch"),
+        F.expr("n_nationkey % 2 = 0").alias("active_graph"),
+        F.lit(None).cast("string").alias("role"),
+    )
+    base = base.unionByName(pending)
     lead = base.groupBy("contrast").agg(F.min("id").alias("lead_id"))
     return base.join(lead, "contrast").select(
         *base.columns,
@@ -191,10 +202,9 @@ def registry(spark: SparkSession, d: str) -> DataFrame:
 
 
 def arm_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Scored cells per registry entry: the lines of every third supplier are missing."""
+    """Scored cells per registry entry: a supplier's lines. Nations' entries have none."""
     return (
         table(spark, d, "lineitem")
-        .filter("l_suppkey % 10 < 8")
         .select(
             F.concat(F.lit("M"), F.col("l_suppkey").cast("string")).alias("key"),
             (F.col("l_returnflag") == "R").cast("int").alias("y"),

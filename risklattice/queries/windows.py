@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.ordered import mix, sample_rank
 from ..operators import aggregate as A
 from ..operators import evaluate as E
+from ..operators import sets
 from ..operators import windows as W
 from ..session import materialise
 from . import views as V
@@ -60,9 +61,9 @@ def w05(spark, d):
 
 @query("w06_spatial_gradient", sql("traffic", """
     select pos, dir, t, round(v - lag(v) over w, 6) as speed_grad_up, round(lead(v) over w - v, 6) as speed_grad_dn,
-           flow - lag(flow) over w as vol_grad_up from traffic where (pos + hidx) % 7 > 0 window w as (partition by t, dir order by pos)"""))
+           flow - lag(flow) over w as vol_grad_up from traffic window w as (partition by t, dir order by pos)"""))
 def w06(spark, d):
-    rows = V.traffic(spark, d).filter("(pos + hidx) % 7 > 0").select("pos", "dir", "t", "v", "flow")
+    rows = V.traffic(spark, d).select("pos", "dir", "t", "v", "flow")
     out = W.spatial_gradient(rows, ["t", "dir"], "pos", {"v": "speed", "flow": "vol"}, ["v"])
     return rounded(out.select("pos", "dir", "t", "speed_grad_up", "speed_grad_dn", "vol_grad_up"), "speed_grad_up", "speed_grad_dn")
 
@@ -80,13 +81,13 @@ def w07(spark, d):
 
 
 @query("w08_flow_regime", sql("traffic", f"""
-    , f as (select pos, quantile_cont(v, 0.85) as ff from traffic where t < timestamp '{CUT}' and pos % 5 > 0 group by pos)
+    , f as (select pos, quantile_cont(v, 0.85) as ff from traffic where t < timestamp '{CUT}' group by pos)
     select c.pos, c.dir, c.t, case when v > 0.85 * coalesce(ff, (select median(v) from traffic)) then 0
            when v > 0.70 * coalesce(ff, (select median(v) from traffic)) then 1 else 2 end as flow_regime
     from traffic c left join f on c.pos = f.pos"""))
 def w08(spark, d):
     rows = cells(spark, d)
-    free = A.free_flow(rows.filter(f"t < timestamp_ntz'{CUT}' and pos % 5 > 0"), ["pos"], "v")
+    free = A.free_flow(rows.filter(f"t < timestamp_ntz'{CUT}'"), ["pos"], "v")
     return W.flow_regime(rows, free, ["pos"], "v").select("pos", "dir", "t", "flow_regime")
 
 
@@ -118,14 +119,14 @@ REST = ["l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_return
       order by case when l_returnflag = 'R' then 1 else 0 end desc, l_extendedprice desc, {", ".join(REST)}) as rn from lineitem) where rn = 1""")
 def w12(spark, d):
     rows = V.dups(spark, d).withColumn("_r", (F.col("l_returnflag") == "R").cast("int"))
-    return W.dedup_prefer(rows, ["l_orderkey", "l_linenumber"], ["_r", "l_extendedprice"], REST).drop("_r")
+    return sets.dedup_prefer(rows, ["l_orderkey", "l_linenumber"], ["_r", "l_extendedprice"], REST).drop("_r")
 
 
 @query("w13_dedup", """
     select user_id, event_type, event_id, round(value, 6) as value from (select *, row_number() over (partition by user_id, event_type order by ts, event_id) as rn
     from events) where rn = 1""")
 def w13(spark, d):
-    out = W.dedup(V.table(spark, d, "events"), ["user_id", "event_type"], ["ts", "event_id"])
+    out = sets.dedup(V.table(spark, d, "events"), ["user_id", "event_type"], ["ts", "event_id"])
     return out.select("user_id", "event_type", "event_id", r6("value").alias("value"))
 
 

@@ -11,7 +11,7 @@ from ..operators.sets import best_row
 
 # The store's schema and the two spellings of a run folder's dates.
 STORE_SCHEMA = (
-    "pk smallint, sen tinyint, dat timestamp_ntz, y tinyint, prob float, pred_binary tinyint, model_key string"
+    "pk int, sen int, dat timestamp_ntz, y tinyint, prob float, pred_binary tinyint, model_key string"
 )
 RUN_NAME = r"_tr(\d{8})-(\d{8})_sim(\d{8})-(\d{8})$"
 RUN_NAME_OLD = r"_win(\d{8})_?(\d{8})$"
@@ -28,8 +28,8 @@ def write_predictions(df: DataFrame, path: str, mode: str = "error") -> None:
     written by many tasks and no task opens a file per model.
     """
     compact = df.select(
-        F.coalesce(F.col("pk"), F.lit(-1)).cast("smallint").alias("pk"),
-        F.coalesce(F.col("sen"), F.lit(-1)).cast("tinyint").alias("sen"),
+        F.coalesce(F.col("pk"), F.lit(-1)).cast("int").alias("pk"),
+        F.coalesce(F.col("sen"), F.lit(-1)).cast("int").alias("sen"),
         F.col("dat").cast("timestamp_ntz").alias("dat"),
         F.coalesce(F.col("y"), F.lit(0)).cast("tinyint").alias("y"),
         F.col("prob").cast("float").alias("prob"),
