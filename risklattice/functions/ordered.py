@@ -34,6 +34,11 @@ def value_bin(value: str | Column, per_octave: int = 4096) -> Column:
     return F.floor(F.signum(x) * size * F.lit(per_octave)).cast("long")
 
 
+def minute_bin(micros: str | Column) -> Column:
+    """A bin for instants in epoch microseconds: ratios to the epoch would put a month into a few bins."""
+    return F.floor(col(micros) / F.lit(60_000_000)).cast("long")
+
+
 def _join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     return left.join(right, list(keys))
 
@@ -45,16 +50,18 @@ def ordered_prefix(
     measures: Sequence[str],
     descending: bool = False,
     per_octave: int = 4096,
+    bin_of: Callable[[str], Column] | None = None,
 ) -> DataFrame:
     """Running totals of ``measures`` along the distinct values of ``value``.
 
     One row per (by, value) with each measure summed, ``cum_<m>`` up to and
     including that value, and ``tot_<m>`` over the whole group. Repeated values
     are combined map-side first; only bin totals meet in one task per group.
+    ``bin_of`` replaces the bins: any function that never decreases will do.
     """
     by = list(by)
     grouped = df.groupBy(*by, value).agg(*[F.sum(m).alias(m) for m in measures])
-    grouped = grouped.withColumn("_bin", value_bin(value, per_octave))
+    grouped = grouped.withColumn("_bin", bin_of(value) if bin_of else value_bin(value, per_octave))
     totals = grouped.groupBy(*by, "_bin").agg(*[F.sum(m).alias(m) for m in measures])
     direction = F.col("_bin").desc() if descending else F.col("_bin").asc()
     group = Window.partitionBy(*by)
@@ -80,7 +87,7 @@ def ordered_prefix(
 
 
 def exact_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, quantiles: dict[str, float]
+    df: DataFrame, by: Sequence[str], value: str, quantiles: dict[str, float], bin_of: Callable[[str], Column] | None = None
 ) -> DataFrame:
     """Exact linearly interpolated quantiles, one output column per entry.
 
@@ -90,7 +97,8 @@ def exact_quantiles(
     its distinct values are ever held in one buffer, as ``percentile`` does.
     """
     by = list(by)
-    rows = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*by, value, value_bin(value).alias("_bin"))
+    rows = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(
+        *by, value, (bin_of or value_bin)(value).alias("_bin"))
     group = Window.partitionBy(*by)
     upto = group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
     bins = rows.groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("_c"))

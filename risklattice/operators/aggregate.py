@@ -105,9 +105,8 @@ def coarsen_hour(df: DataFrame, hour: str, slots_per_hour: int = 1) -> DataFrame
 
 def eb_rate(df: DataFrame, keys: Sequence[str], label: str, m: float = 200.0) -> DataFrame:
     """Rates per key shrunken towards the overall rate ``p0`` by ``m`` pseudo-rows."""
-    p0 = df.select(F.sum(label) / F.count(F.lit(1))).scalar()
     cells = df.groupBy(*keys).agg(F.sum(label).alias("_s"), F.count(F.lit(1)).alias("_n"))
-    cells = cells.withColumn("p0", p0)
+    cells = cells.withColumn("p0", cells.select(F.sum("_s") / F.sum("_n")).scalar())
     rate = (F.col("_s") + F.lit(float(m)) * F.col("p0")) / (F.col("_n") + F.lit(float(m)))
     return cells.select(*keys, rate.alias("rate"), "p0")
 

@@ -285,7 +285,8 @@ def build_incidents(
 
     A footprint joins the current incident when at most ``hours`` after its last
     one and within ``tolerance`` of the span accumulated so far. Long silences
-    split the direction into independent sessions first; a session holds at most
+    split the direction into independent sessions first, and footprints away from
+    everything their session has touched split these again; a part holds at most
     one footprint per instant, so its size is set by the calendar, not by the
     number of stamps, and is folded in place.
     """
@@ -298,8 +299,14 @@ def build_incidents(
 
     split = over_blocks(foot, [direction], [ts], block, silence, 1, 0)
     numbered = running(split, [direction], [ts], block, {"_session": F.col("_new")})
+    # A footprint off all that its session has touched so far starts an incident whatever the fold would say.
+    session = Window.partitionBy(direction, "_session").orderBy(ts)
+    so_far = session.rowsBetween(Window.unboundedPreceding, -1)
+    off = (F.col("pkmax") < F.min("pkmin").over(so_far) - tolerance) | (F.col("pkmin") > F.max("pkmax").over(so_far) + tolerance)
+    numbered = numbered.withColumn("_off", F.coalesce(off.cast("int"), F.lit(0)))
+    numbered = numbered.withColumn("_part", F.sum("_off").over(session.rowsBetween(Window.unboundedPreceding, 0)))
     item = F.struct(F.col(ts).alias("t"), F.col("pkmin").alias("lo"), F.col("pkmax").alias("hi"))
-    sessions = numbered.groupBy(direction, "_session").agg(F.sort_array(F.collect_list(item)).alias("_f"))
+    sessions = numbered.groupBy(direction, "_session", "_part").agg(F.sort_array(F.collect_list(item)).alias("_f"))
     span = "struct<tmin:timestamp_ntz,tmax:timestamp_ntz,lo:bigint,hi:bigint>"
     empty = F.expr(
         f"struct(cast(array() as array<{span}>) as done, cast(null as {span}) as cur)"

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.ordered import exact_quantiles, mix, ordered_prefix, running
+from ..functions.ordered import exact_quantiles, minute_bin, mix, ordered_prefix, running
 from ..functions.timeparts import day_chunk, epoch_seconds
 
 
@@ -107,7 +107,7 @@ def split_by_time(df: DataFrame, ts: str, boundary: str | Column, check: bool =
 def _position(df: DataFrame, ts: str) -> DataFrame:
     """Per instant: rows at earlier instants (``_before``) and in all (``_total``)."""
     rows = df.select(epoch_micros(ts).alias("_t"), F.lit(1).cast("long").alias("_n"))
-    steps = ordered_prefix(rows, [], "_t", ["_n"])
+    steps = ordered_prefix(rows, [], "_t", ["_n"], bin_of=minute_bin)
     return steps.select("_t", (F.col("cum__n") - F.col("_n")).alias("_before"), F.col("tot__n").alias("_total"))
 
 
@@ -160,7 +160,7 @@ def fold_bounds(df: DataFrame, ts: str, k: int = 3) -> DataFrame:
 def split_quantile(df: DataFrame, ts: str, q: float = 0.8, out: str = "train") -> DataFrame:
     """1 on rows up to the quantile of their instants."""
     micros = df.select(epoch_micros(ts).alias("_t"))
-    cut = exact_quantiles(micros, [], "_t", {"q": q}).scalar()
+    cut = exact_quantiles(micros, [], "_t", {"q": q}, minute_bin).scalar()
     return df.withColumn(out, (epoch_micros(ts) <= cut).cast("int"))
 
 

@@ -184,19 +184,26 @@ def _card(name, thr):
       round(count(*) filter (pb >= {thr} and y = 1) / cast(greatest(count(*) filter (y = 1), 1) as double), 6) as interval_recall,
       (select count(*) from incidents) as incidents, count(distinct incident_id) filter (pb >= {thr}) as incidents_caught,
       count(distinct incident_id) filter (pb >= {thr} and mins < 0) as incidents_caught_before_onset,
-      (select sum(case when epoch_us(ts) // 1000000 - epoch_us(p) // 1000000 <= 36000 then 0 else 1 end)
-       from (select ts, lag(ts) over (partition by dir, pos order by ts) as p from a where pb >= {thr})) as episodes from a"""
+      (select count(*) from runs where thr = {thr}) as episodes, (select count(*) from runs where thr = {thr} and hit) as hits from a"""
 
 
-@query("l11_event_scorecard", sql("located scores", ASSIGNED_SQL + "select tier, threshold, interval_precision, interval_recall, incidents, incidents_caught, "
-       "incidents_caught_before_onset, cast(episodes as bigint) as episodes from (" + _card("dispatch", 0.9) + " union all " + _card("advisory", 0.5) + ")"))
+RUNS_SQL = """, flagged as (select thr, dir, pos, ts, incident_id, lag(ts) over (partition by thr, dir, pos order by ts) as p from a, (select unnest([0.9, 0.5]) as thr) where pb >= thr),
+    stepped as (select *, sum(case when epoch_us(ts) // 1000000 - epoch_us(p) // 1000000 <= 36000 then 0 else 1 end) over (partition by thr, dir, pos order by ts) as run from flagged),
+    runs as (select thr, dir, pos, run, bool_or(incident_id is not null) as hit from stepped group by all)"""
+
+
+@query("l11_event_scorecard", sql("located scores", ASSIGNED_SQL + RUNS_SQL + """
+    select tier, threshold, interval_precision, interval_recall, incidents, incidents_caught, round(incidents_caught / cast(greatest(incidents, 1) as double), 6) as incident_recall,
+           incidents_caught_before_onset, round(incidents_caught_before_onset / cast(greatest(incidents, 1) as double), 6) as incident_recall_pre_onset,
+           episodes, hits as episodes_on_an_incident, round(hits / cast(greatest(episodes, 1) as double), 6) as episode_precision,
+           round((episodes - hits) / cast(greatest(incidents, 1) as double), 6) as false_episodes_per_incident
+    from (""" + _card("dispatch", 0.9) + " union all " + _card("advisory", 0.5) + ")"))
 def l11(spark, d):
     pred = materialise(assigned(spark, d), "scored-cells")
     found = materialise(incidents(spark, d), "incidents")
     out = EP.event_scorecard(pred, found, {"dispatch": 0.9, "advisory": 0.5}, LOC, "t", "y", "pb", 300)
-    out = out.select("tier", "threshold", "interval_precision", "interval_recall", "incidents", "incidents_caught",
-                     "incidents_caught_before_onset", "episodes")
-    return rounded(out, "interval_precision", "interval_recall")
+    return rounded(out, "interval_precision", "interval_recall", "incident_recall", "incident_recall_pre_onset",
+                   "episode_precision", "false_episodes_per_incident")
 
 
 @query("l12_pre_onset_ap", sql("located scores", ASSIGNED_SQL + """,

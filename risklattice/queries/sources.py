@@ -79,12 +79,12 @@ def s06(spark, d):
     return out.withColumn("prob", F.round(F.col("prob").cast("double"), 6))
 
 
-@query("s07_write_csv")
+@query("s07_write_csv", sql("scores", "select day, count(*) as n, cast(sum(y) as bigint) as pos from scores group by day"))
 def s07(spark, d):
     path = scratch_path(spark, "daily-csv")
     daily = V.scores(spark, d).groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"))
     S.write_csv(daily, path)
-    return spark.read.text(path).select(F.col("value").alias("line"))
+    return spark.read.schema("day date, n long, pos long").option("sep", ";").option("header", True).option("encoding", "ISO-8859-1").csv(path)
 
 
 @query("s08_read_registry", sql("registry", """

@@ -115,3 +115,17 @@ def test_permutation_keeps_the_values(spark):
     df = spark.range(1000).withColumn("x", F.col("id") * 2)
     out = diagnose.permute_column(df, "x", "id", 1).toPandas()
     assert sorted(out["x"]) == list(range(0, 2000, 2)) and (out["x"] != out["id"] * 2).mean() > 0.9
+
+
+def test_nan_is_missing_in_quantiles(spark):
+    df = spark.createDataFrame([(1, x) for x in (1.0, 2.0, 3.0, float("nan"), 5.0, None)], "k int, x double")
+    assert ordered.exact_quantiles(df, ["k"], "x", {"m": 0.5}).first().m == 2.5
+    assert ordered.exact_quantiles(df, [], "x", {"top": 1.0}).first().top == 5.0
+
+
+def test_minutes_spread_a_month_of_instants(spark):
+    month = spark.range(0, 40_000).selectExpr("1704067200000000 + id * 60000000 as t")
+    bins = month.groupBy(ordered.minute_bin("t").alias("b")).count()
+    assert bins.count() == 40_000
+    picked = ordered.exact_quantiles(month, [], "t", {"m": 0.5}, ordered.minute_bin).first().m
+    assert picked == 1704067200000000 + 19_999.5 * 60000000
