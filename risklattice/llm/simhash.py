@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from risklattice.session import materialise
 
 from .components import components
-from .shared import row_id
 
 BITS, SEGMENTS = 64, 8
 WIDTH = BITS // SEGMENTS
@@ -205,14 +204,3 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, seed:
     placed = member.join(named, "component").select(F.col("fp").alias("fp__"), "component_id")
     return marked.join(placed, F.col("fp") == F.col("fp__")).select("doc_id", "fp", "component_id")
 
-
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """One row of ``docs`` for each component, with all its columns: the one with the smallest (doc_id, text).
-
-    Rows that agree in doc_id are told apart by their other columns' hash, and rows that agree in everything are one.
-    """
-    tagged = docs.withColumn("row__", row_id(docs))
-    groups = near_duplicates(tagged.select(F.struct("doc_id", "row__").alias("doc_id"), "text"), **how)
-    kept = groups.select(F.col("component_id.row__").alias("kept__")).distinct()
-    one = tagged.join(kept, F.col("row__") == F.col("kept__"), "left_semi")
-    return one.dropDuplicates(["row__"]).select(*docs.columns)
