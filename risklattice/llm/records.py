@@ -57,9 +57,9 @@ def frames(doc_ids: np.ndarray, has_id: np.ndarray, ids: np.ndarray, sizes: np.n
 
 def _write(path: str, tokenizer: str, end_id: int, width: int):
     def blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        """Slices of some BLOCK bytes of text."""
+        """Slices of some BLOCK / 2 bytes of text: a text's words, pieces and ids take many times its size."""
         sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
-        part = np.cumsum(sizes) // (2 * BLOCK)
+        part = np.cumsum(sizes) // (BLOCK // 2)
         cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
@@ -127,6 +127,12 @@ def parts(spark: SparkSession, path: str) -> DataFrame:
     return listed.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
+def _dealt(spark: SparkSession, path: str, *columns: str) -> DataFrame:
+    """The list of files over as many tasks as files: its rows are too small for Spark to see the work behind them."""
+    listed = parts(spark, path)
+    return listed.select(*columns).repartition(max(1, listed.count()), "part")
+
+
 def _checked(raw: np.ndarray, offsets: np.ndarray, sizes: np.ndarray) -> None:
     """Raise unless every frame's length and both its checksums are right."""
     number = lambda at, kind: raw[at[:, None] + np.arange(np.dtype(kind).itemsize)].copy().view(kind).ravel()
@@ -184,8 +190,7 @@ def read_records(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
                     start += int(sizes.sum())
                     yield pa.RecordBatch.from_pydict(columns)
 
-    listed = parts(spark, path).select("part", "start", "width").repartition("part")
-    return listed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, part int" + ", ids array<int>" * ids)
+    return _dealt(spark, path, "part", "start", "width").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, part int" + ", ids array<int>" * ids)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -202,7 +207,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
                     "part": pa.array(np.full(n, row["part"], np.int32)), "width": pa.array(np.full(n, row["width"], np.int32)),
                     "offset": entries["offset"].copy(), "size": entries["size"].copy(), "doc_id": _rows(entries)})
 
-    return parts(spark, path).select("part", "width").repartition("part").mapInArrow(run, "part int, width int, offset long, size long, doc_id long")
+    return _dealt(spark, path, "part", "width").mapInArrow(run, "part int, width int, offset long, size long, doc_id long")
 
 
 def read_shuffled(spark: SparkSession, path: str, seed: int, partitions: int) -> DataFrame:

@@ -31,7 +31,7 @@ class WordEncoder:
     (``tests/llm``). At most ``most`` pieces are remembered; beyond, memory is cleared.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 600_000):
         self.full = Tokenizer.from_file(path)
         # The same model without the steps that change nothing in a lower-case composed piece.
         self.plain = Tokenizer(self.full.model)
