@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from risklattice.session import scratch_path
 
 from . import chat, decontaminate, language, licenses, mixing, records, repeats, sharding, simhash, sketch
+from .oracles import ORACLES
 from .shared import table
 
+__all__ = ["ORACLES", "QUERIES"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -69,4 +72,3 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pfair_mix, op2_rendezvous_shards, op3_fuzzy_notices, op4_typed_chat, op5_nearest_centroid, op6_framed_tokens, op7_bucket_pointers, op8_spaced_seeds, op9_bottom_k, op10_simhash)}
-ORACLES: dict[str, str] = {}
