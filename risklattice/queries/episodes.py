@@ -10,7 +10,7 @@ from ..operators import joins as J
 from ..session import materialise
 from . import views as V
 from .aggregates import rounded
-from .joins import INCIDENTS_SQL, incidents
+from .joins import INCIDENTS_SQL, ROAD, incidents
 from .oracle import CTES, sql
 from .registry import query
 from .views import LOC
@@ -167,14 +167,14 @@ def l10(spark, d):
 
 
 def assigned(spark, d):
-    cells = V.scores(spark, d).select("event_id", "dir", "pos", F.col("ts").alias("t"), "y", "pb")
+    cells = V.scores(spark, d).select("event_id", F.expr(ROAD), "pos", F.col("ts").alias("t"), "y", "pb")
     return J.assign_incident(cells, incidents(spark, d), "dir", "t", "pos", "event_id", lead_minutes=60, match=F.col("y") == 1)
 
 
 ASSIGNED_SQL = ", " + INCIDENTS_SQL + """,
     a as (select s.event_id, s.dir, s.pos, s.ts, s.y, s.pb, min(i.incident_id) as incident_id,
                  arg_min(date_diff('minute', i.tmin, s.ts), i.incident_id) as mins
-          from scores s left join incidents i on s.y = 1 and s.dir = i.dir and s.pos >= i.pkmin - 2
+          from scores s left join incidents i on s.y = 1 and s.pos // 25 * 2 + s.dir = i.dir and s.pos >= i.pkmin - 2
                and s.pos <= i.pkmax + 2 and s.ts >= i.tmin - interval 60 minute and s.ts <= i.tmax group by all)"""
 
 

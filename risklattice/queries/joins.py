@@ -146,7 +146,7 @@ def j13(spark, d):
 
 
 INCIDENTS_SQL = """
-    stamp as (select distinct dir, pos, date_trunc('hour', ts) as t from located
+    stamp as (select distinct cast(pos // 25 * 2 + dir as integer) as dir, pos, date_trunc('hour', ts) as t from located
               where event_type = 'error'),
     foot as (select dir, t, min(pos) as lo, max(pos) as hi,
                     row_number() over (partition by dir order by t) as i from stamp group by dir, t),
@@ -167,20 +167,24 @@ INCIDENTS_SQL = """
     incidents as (select dir, num, row_number() over (order by dir, tmin) - 1 as incident_id, tmin, tmax, pkmin, pkmax from incident)"""
 
 
+# Incidents lie on roads of 25 posts by direction, so that more posts make more of them.
+ROAD = "cast(pos div 25 * 2 + dir as int) as dir"
+
+
 def incidents(spark, d):
     stamps = V.located(spark, d).filter("event_type = 'error'").select(
-        "dir", "pos", hour_start("ts").alias("t")).distinct()
+        F.expr(ROAD), "pos", hour_start("ts").alias("t")).distinct()
     return ep.build_incidents(ep.footprints(stamps, ["dir", "t"], "pos"), "dir", "t", hours=2, tolerance=2)
 
 
 @query("j14_assign_incident", sql("located scores", ", " + INCIDENTS_SQL + """
     select s.event_id, min(i.incident_id) as incident_id,
            arg_min(date_diff('minute', i.tmin, s.ts), i.incident_id) as mins_from_onset
-    from scores s left join incidents i on s.y = 1 and s.dir = i.dir and s.pos >= i.pkmin - 2
+    from scores s left join incidents i on s.y = 1 and s.pos // 25 * 2 + s.dir = i.dir and s.pos >= i.pkmin - 2
          and s.pos <= i.pkmax + 2 and s.ts >= i.tmin - interval 60 minute and s.ts <= i.tmax
     where s.y = 1 group by s.event_id"""))
 def j14(spark, d):
-    cells = V.scores(spark, d).filter("y = 1").select("event_id", "dir", "pos", F.col("ts").alias("t"))
+    cells = V.scores(spark, d).filter("y = 1").select("event_id", F.expr(ROAD), "pos", F.col("ts").alias("t"))
     out = J.assign_incident(cells, incidents(spark, d), "dir", "t", "pos", "event_id", lead_minutes=60)
     return out.select("event_id", "incident_id", "mins_from_onset")
 
