@@ -25,18 +25,22 @@ EMPTY = hashlib.sha256(b"").hexdigest()
 
 @dataclass(frozen=True)
 class Plan:
-    """``buckets``: tasks' shares of the sampled q-grams. ``crowded``: q-grams too frequent to be refined in one task."""
+    """``buckets``: tasks' shares of the sampled q-grams; ``fine``: parts of each, so that bytes are refined in small lots.
+    ``crowded``: q-grams too frequent to be refined in one task."""
 
     length: int
     gram: int
     buckets: int
     crowded: frozenset[int]
+    fine: int = 16
 
 
 # A sampled stretch: text number, first and last start of its windows, anchor's hash, hash of its bytes.
 STRETCH = np.dtype([("text", "<i8"), ("first", "<i4"), ("last", "<i4"), ("key", "<u8"), ("content", "<u8")])
 # A range of window starts of a text.
 RANGE = np.dtype([("text", "<i8"), ("first", "<i4"), ("last", "<i4")])
+# A range whose bytes are wanted, and its q-gram.
+WANT = np.dtype([("text", "<i8"), ("first", "<i4"), ("last", "<i4"), ("key", "<u8")])
 # A window of a crowded stretch, by 128 bits of hash.
 WINDOW = np.dtype([("a", "<u8"), ("b", "<u8"), ("text", "<i8"), ("start", "<i4")])
 BLOCKS = "bucket int, kind int, block binary"
@@ -100,9 +104,9 @@ def _first_stretches(rows: np.ndarray) -> np.ndarray:
     return first
 
 
-def _ranges(rows: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(rows), RANGE)
-    for name in RANGE.names:
+def _ranges(rows: np.ndarray, kind: np.dtype = RANGE) -> np.ndarray:
+    out = np.zeros(len(rows), kind)
+    for name in kind.names:
         out[name] = rows[name]
     return out
 
@@ -184,7 +188,7 @@ def _sort_samples(plan: Plan):
             several = (kinds[which] > 1) & ~crowded if len(heads) else np.zeros(0, bool)
             removed = np.concatenate((_ranges(rows[~first]), _rows(held.get(REMOVED), RANGE)))
             yield _text_batch(
-                _by_text(removed, bucket, REMOVED) + _by_text(_ranges(heads[several]), bucket, WANTED) + _by_text(_ranges(heads[crowded]), -1, WANTED))
+                _by_text(removed, bucket, REMOVED) + _by_text(_ranges(heads[several], WANT), bucket, WANTED) + _by_text(_ranges(heads[crowded], WANT), -1, WANTED))
 
     return run
 
@@ -201,11 +205,11 @@ def _emit_bytes(plan: Plan):
                 for hit in hits.as_py():
                     if hit["kind"] != WANTED:
                         continue
-                    for _, first, last in np.frombuffer(hit["block"], RANGE).tolist():
+                    for _, first, last, key in np.frombuffer(hit["block"], WANT).tolist():
                         piece = data[first : last + plan.length]
                         if hit["bucket"] >= 0:
                             head = np.array([(no, first, last)], RANGE).tobytes()
-                            parts.setdefault(hit["bucket"], []).append(head + piece.tobytes())
+                            parts.setdefault(key % (plan.buckets * plan.fine), []).append(head + piece.tobytes())
                             continue
                         rows = np.zeros(last - first + 1, WINDOW)
                         rows["a"], rows["b"] = gram_hashes(piece, plan.length), gram_hashes(piece, plan.length, 1)
@@ -345,7 +349,7 @@ def _crowded(texts: DataFrame, length: int, gram: int, most: int, one_in: int) -
 
 
 def remove_repeats(
-    docs: DataFrame, length: int = 100, gram: int = 20, per_bucket: int = 2_000_000, least_buckets: int = 64,
+    docs: DataFrame, length: int = 100, gram: int = 20, per_bucket: int = 1_000_000, least_buckets: int = 64,
     crowded: int = 250_000, one_in: int = 64,
 ) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of ``docs`` (doc_id, text), its bytes in UTF-8.
@@ -356,7 +360,7 @@ def remove_repeats(
 
     Distinct texts are shuffled once, by their MD5. Each window of ``length`` bytes has an anchor, its least ``gram``-gram,
     and windows in a row share anchors, so one row stands for some forty windows. Anchors are the initial buckets; equal
-    surroundings are settled there. Where surroundings differ, their bytes are fetched and refined in the anchor's bucket.
+    surroundings are settled there. Where surroundings differ, their bytes are fetched and refined in a part of the anchor's bucket.
     Equal stretches are reduced to one in each batch before they travel. A q-gram with more than ``crowded`` stretches is
     not refined in one task: its windows are compared one by one, by 128-bit hashes, spread over all buckets.
     """
