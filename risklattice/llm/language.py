@@ -108,7 +108,8 @@ def _sample(docs: DataFrame, settings: Settings) -> DataFrame:
     ids = labelled.select("doc_id", "lang", order.alias("order")).withColumn("salt", F.pmod("order", F.lit(64)))
     for group in (["lang", "salt"], ["lang"]):
         ids = ids.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy("order", "doc_id"))).filter(F.col("rank") <= most)
-    texts = labelled.select("doc_id", "lang", "text").join(ids.select("doc_id", "lang"), ["doc_id", "lang"], "left_semi")
+    chosen = F.broadcast(ids.select("doc_id", "lang"))  # as many rows as ``sample_rows`` at most
+    texts = labelled.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"], "left_semi")
     last = Window.partitionBy("lang").orderBy(order, F.xxhash64("text"))
     return texts.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= most).select("lang", "text")
 
