@@ -116,11 +116,12 @@ def _first_instant(df: DataFrame, ts: str, reached: Column) -> Column:
     return _position(df, ts).filter(reached).agg(F.min("_t").alias("t")).scalar()
 
 
-def split_tail_days(df: DataFrame, ts: str, frac: float = 0.2, out: str = "held") -> DataFrame:
+def split_tail_days(df: DataFrame, ts: str, frac: float = 0.2, out: str = "held", rule: str = "rule") -> DataFrame:
     """1 on the latest whole days until they hold ``frac`` of the rows.
 
     With fewer than three days, or when every day would be held, the last
-    ``frac`` of the instants by row position.
+    ``frac`` of the instants by row position. Column ``rule`` says which it was:
+    ``days`` or ``rows``.
     """
     per_day = df.groupBy(F.to_date(ts).alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
     later = Window.orderBy(F.col("_day").desc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -130,7 +131,7 @@ def split_tail_days(df: DataFrame, ts: str, frac: float = 0.2, out: str = "held"
     from_day = marked.filter("_held").select(F.min("_day")).scalar()
     cut = _first_instant(df, ts, F.col("_before") >= F.bround(F.col("_total") * (1 - frac)))
     held = F.when(usable, F.to_date(ts) >= from_day).otherwise(F.coalesce(epoch_micros(ts) >= cut, F.lit(False)))
-    return df.withColumn(out, held.cast("int"))
+    return df.withColumn(out, held.cast("int")).withColumn(rule, F.when(usable, "days").otherwise("rows"))
 
 
 def split_per_location(df: DataFrame, keys: Sequence[str], ts: str, frac: float = 0.8, out: str = "train") -> DataFrame:
@@ -175,11 +176,13 @@ def split_three(df: DataFrame, ts: str, fracs: tuple[float, float] = (0.7, 0.1),
 
 
 def split_tail_or_stratified(
-    df: DataFrame, ts: str, key: str, y: str, frac: float = 0.2, min_pos: int = 2, seed: int = 42, out: str = "held"
+    df: DataFrame, ts: str, key: str, y: str, frac: float = 0.2, min_pos: int = 2, seed: int = 42, out: str = "held",
+    rule: str = "rule",
 ) -> DataFrame:
     """The last ``frac`` of the rows by time, if both sides hold ``min_pos`` positives.
 
     Otherwise a seeded hash of the key holds out the same share of each class.
+    Column ``rule`` says which it was: ``tail`` or ``class``.
     """
     tail = epoch_micros(ts) >= _first_instant(df, ts, F.col("_before") >= F.floor(F.col("_total") * (1 - frac)))
     marked = df.withColumn("_tail", tail)
@@ -193,4 +196,4 @@ def split_tail_or_stratified(
     limits = last.agg(F.map_from_entries(F.collect_list(F.struct("_y", "_m"))).alias("m")).scalar()
     pick = F.coalesce(mix(key, seed) <= F.try_element_at(limits, F.col(y).cast("int")), F.lit(False))
     held = F.when(both, F.col("_tail")).otherwise(pick)
-    return marked.withColumn(out, held.cast("int")).drop("_tail")
+    return marked.withColumn(out, held.cast("int")).withColumn(rule, F.when(both, "tail").otherwise("class")).drop("_tail")

@@ -432,7 +432,7 @@ def choose(
     The incumbent wins ties; the winner is refitted on all rows. Returns its
     name, all values, and its scorer.
     """
-    held = split_tail_days(df, ts, frac, "_held").filter("_held = 1")
+    held = split_tail_days(df, ts, frac, "_held", "_rule").filter("_held = 1")
     cut = held.select(F.min(epoch_micros(ts))).first()[0]
     train, test = df.filter(epoch_micros(ts) < cut), df.filter(epoch_micros(ts) >= cut)
     if not _counts(test, y)[0]:

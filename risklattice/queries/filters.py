@@ -64,7 +64,7 @@ def f06(spark, d):
 @query("f07_split_tail_days", """
     with days as (select cast(l_shipdate as date) as day, count(*) as n from lineitem group by 1),
     h as (select day, coalesce(sum(n) over (order by day desc rows between unbounded preceding and 1 preceding), 0) < sum(n) over () * 0.2 as held from days)
-    select l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(held as integer) as held from lineitem join h on cast(l_shipdate as date) = day""")
+    select l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(held as integer) as held, 'days' as rule from lineitem join h on cast(l_shipdate as date) = day""")
 def f07(spark, d):
     rows = V.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
     return FL.split_tail_days(rows, "l_shipdate", 0.2).drop("l_shipdate")
@@ -106,5 +106,4 @@ def f12(spark, d):
     s = V.scores(spark, d).select("event_id", "ts", "y")
     tail = FL.split_tail_or_stratified(s, "ts", "event_id", "y", 0.2, 2)
     poor = FL.split_tail_or_stratified(s, "ts", "event_id", "y", 0.2, 10**12)
-    return tail.select("event_id", F.lit("tail").alias("kind"), "held").unionByName(
-        poor.select("event_id", F.lit("class").alias("kind"), "held"))
+    return tail.select("event_id", "held", F.col("rule").alias("kind")).unionByName(poor.select("event_id", "held", F.col("rule").alias("kind")))
