@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
+KNOTS = np.arange(0, 20.5, 0.5)  # base-2 logarithms of numbers of different n-grams
 _LETTERS: np.ndarray | None = None
 
 
@@ -18,8 +19,8 @@ _LETTERS: np.ndarray | None = None
 class Settings:
     """``sample_rows`` bounds the labelled rows that the model is fitted on, shared out over the languages.
 
-    A text is rejected below ``slack`` times the smallest cosine of its nearest language's sample, or below ``sure`` where
-    that is less.
+    A text is rejected below ``slack`` times the ``quantile`` of the cosines that sampled texts of its nearest language have
+    at its length, or below ``middle`` times their median where that is more: a few odd rows do not lower it.
     """
 
     dimensions: int = 4096
@@ -27,8 +28,10 @@ class Settings:
     clusters: int = 4
     sample_rows: int = 1600
     rounds: int = 20
-    slack: float = 0.4
-    sure: float = 0.15
+    slack: float = 0.7
+    quantile: float = 0.05
+    middle: float = 0.45
+    cuts: tuple[int, ...] = (12, 25, 50, 100, 200, 400, 800, 1600)  # characters
     seed: int = 17
 
 
@@ -37,7 +40,7 @@ class Model:
     languages: tuple[str, ...]  # of each centroid
     centroids: np.ndarray
     idf: np.ndarray
-    least: np.ndarray  # cosine below which a text is rejected: of each centroid, from the farthest text of its language
+    least: np.ndarray  # cosine below which a text is rejected: of each centroid, at each of KNOTS
     settings: Settings
 
 
@@ -91,6 +94,30 @@ def cluster(rows: np.ndarray, k: int, rounds: int) -> np.ndarray:
     return centroids
 
 
+def _least(own: np.ndarray, sizes: np.ndarray, heads: list[str], centroids: np.ndarray, idf: np.ndarray, settings: Settings) -> np.ndarray:
+    """The least accepted cosine at each of KNOTS, from a language's sampled texts and the starts of those long enough.
+
+    Short texts lie farther from any centroid, and samples hold few of them, so the sample is cut to each length as well.
+    A length is a number of different n-grams, so a text that repeats itself is a short one.
+    Between lengths the bound is interpolated and never falls; below the shortest it shrinks with the root of the length.
+    """
+    groups = [(sizes, (own @ centroids.T).max(1))]
+    longest = settings.cuts[-1]
+    if (long := np.array([len(h) >= longest for h in heads])).any():
+        groups = [(sizes[long], groups[0][1][long])]
+    for cut in settings.cuts:
+        made = [ngram_counts(h[:cut], settings) for h in heads if len(h) >= cut]
+        made = [m for m in made if m is not None]
+        if made:
+            counts = np.stack(made)
+            groups.append(((counts > 0).sum(1), (vectors(counts, idf) @ centroids.T).max(1)))
+    at = [float(np.log2(max(1.0, np.median(n)))) for n, _ in groups]
+    bound = [max(settings.slack * np.quantile(c, settings.quantile), settings.middle * np.median(c)) for _, c in groups]
+    order = np.argsort(at, kind="stable")
+    x, y = np.array(at)[order], np.maximum.accumulate(np.array(bound)[order])
+    return np.interp(KNOTS, x, y) * np.minimum(1, np.exp2((KNOTS - x[0]) / 2))
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")), F.lit(4)) == 2, F.lit(False))
 
@@ -125,55 +152,57 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
             made = [ngram_counts(t, settings) for t in batch.column(1).to_pylist()]
             kept = [i for i, m in enumerate(made) if m is not None]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(kept, pa.int64())), pa.array([made[i].tobytes() for i in kept], pa.binary())], names=["lang", "counts"])
+                [batch.column(0).take(pa.array(kept, pa.int64())), pa.array([made[i].tobytes() for i in kept], pa.binary()),
+                 pa.array([batch.column(1)[i].as_py()[: settings.cuts[-1]].encode("utf-8", "surrogatepass") for i in kept], pa.binary())], names=["lang", "counts", "head"])
 
-    rows = sorted((r.lang, bytes(r.counts)) for r in _sample(docs, settings).mapInArrow(run, "lang string, counts binary").collect())
+    sampled = _sample(docs, settings).mapInArrow(run, "lang string, counts binary, head binary").collect()
+    rows = sorted((r.lang, bytes(r.counts), bytes(r.head)) for r in sampled)
     d = settings.dimensions
-    counts = np.stack([np.frombuffer(c, np.float32) for _, c in rows]) if rows else np.zeros((0, d), np.float32)
+    counts = np.stack([np.frombuffer(c, np.float32) for _, c, _ in rows]) if rows else np.zeros((0, d), np.float32)
     idf = (np.log((1 + len(rows)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
-    unit, langs = vectors(counts, idf), np.array([lang for lang, _ in rows], object)
+    unit, langs = vectors(counts, idf), np.array([lang for lang, _, _ in rows], object)
     names, centroids, least = [], [], []
     for lang in sorted(set(langs)):
         own = unit[langs == lang]
         found = cluster(own, settings.clusters, settings.rounds)
         names += [lang] * len(found)
         centroids += list(found)
-        least += [min(settings.sure, settings.slack * float((own @ found.T).max(1).min()))] * len(found)
-    return Model(tuple(names), np.stack(centroids) if centroids else np.zeros((0, d), np.float32), idf, np.array(least), settings)
+        heads = [h.decode("utf-8", "surrogatepass") for name, _, h in rows if name == lang]
+        least += [_least(own, (counts[langs == lang] > 0).sum(1), heads, found, idf, settings)] * len(found)
+    return Model(tuple(names), np.stack(centroids) if centroids else np.zeros((0, d), np.float32), idf, np.array(least).reshape(-1, len(KNOTS)), settings)
 
 
-def _nearest(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """The nearest centroid (-1: none) and its cosine for each text, in blocks of bounded size."""
+def _nearest(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The nearest centroid (-1: none), its cosine and whether that is near enough for each text, in blocks of bounded size."""
     n = len(texts)
-    nearest, cosine = np.full(n, -1, np.int32), np.zeros(n)
+    nearest, cosine, accepted = np.full(n, -1, np.int32), np.zeros(n), np.zeros(n, bool)
     for first in range(0, n if len(model.centroids) else 0, 256):
         made = [ngram_counts(t, model.settings) for t in texts[first : first + 256].to_pylist()]
         at = np.array([first + i for i, m in enumerate(made) if m is not None], np.int64)
         if len(at):
-            cosines = vectors(np.stack([m for m in made if m is not None]), model.idf) @ model.centroids.T
+            counts = np.stack([m for m in made if m is not None])
+            cosines = vectors(counts, model.idf) @ model.centroids.T
             nearest[at], cosine[at] = cosines.argmax(1), cosines.max(1)
-    return nearest, cosine
-
-
-def _accepted(nearest: np.ndarray, cosine: np.ndarray, model: Model) -> np.ndarray:
-    return (nearest >= 0) & (cosine >= np.append(model.least, np.inf)[nearest])
+            sizes = np.log2(np.maximum((counts > 0).sum(1), 1))
+            accepted[at] = [c >= np.interp(x, KNOTS, model.least[i]) for c, x, i in zip(cosine[at], sizes, nearest[at])]
+    return nearest, cosine, accepted
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score, rejected, cluster) for every row of ``docs`` (doc_id, text), from whole texts, without a shuffle.
 
-    score is the cosine with the nearest centroid. A text farther from it than the fit's members, with slack, is rejected,
-    and keeps its prediction. Null texts and texts without letters are ``und`` with score 0, and rejected; so is every text
+    score is the cosine with the nearest centroid. A text farther from it than nearly all of the fit's members are at its
+    length, with slack, is rejected, and keeps its prediction. Null texts and texts without letters are ``und`` with score 0, and rejected; so is every text
     if nothing was learnt. Other columns are not carried.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nearest, cosine = _nearest(batch.column(1), model)
+            nearest, cosine, accepted = _nearest(batch.column(1), model)
             lang = np.array([*model.languages, UNKNOWN], object)[nearest]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(lang, pa.string()), pa.array(np.clip(cosine, 0, 1)),
-                 pa.array(~_accepted(nearest, cosine, model)), pa.array(nearest)],
+                 pa.array(~accepted), pa.array(nearest)],
                 names=["doc_id", "lang_pred", "score", "rejected", "cluster"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -186,7 +215,6 @@ def keep_accepted(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nearest, cosine = _nearest(batch.column(at), model)
-            yield batch.filter(pa.array(_accepted(nearest, cosine, model)))
+            yield batch.filter(pa.array(_nearest(batch.column(at), model)[2]))
 
     return docs.mapInArrow(run, docs.schema)
