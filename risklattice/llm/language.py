@@ -17,7 +17,8 @@ _LETTERS: np.ndarray | None = None
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample_rows`` bounds the labelled rows that the model is fitted on, shared out over the languages.
+    """``sample_rows`` is shared out over the languages, one row each at least, so the model is fitted on max(sample_rows,
+    languages) labelled rows at most; the broadcast ids and the driver's rows have the same bound.
 
     A text is rejected below ``slack`` times the ``quantile`` of the cosines that sampled texts of its nearest language have
     at its length, or below ``middle`` times their median where that is more: a few odd rows do not lower it.
@@ -135,7 +136,7 @@ def _sample(docs: DataFrame, settings: Settings) -> DataFrame:
     ids = labelled.select("doc_id", "lang", order.alias("order")).withColumn("salt", F.pmod("order", F.lit(64)))
     for group in (["lang", "salt"], ["lang"]):
         ids = ids.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy("order", "doc_id"))).filter(F.col("rank") <= most)
-    chosen = F.broadcast(ids.select("doc_id", "lang"))  # as many rows as ``sample_rows`` at most
+    chosen = F.broadcast(ids.select("doc_id", "lang"))  # max(sample_rows, languages) rows at most
     texts = labelled.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"], "left_semi")
     last = Window.partitionBy("lang").orderBy(order, F.xxhash64("text"))
     return texts.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= most).select("lang", "text")
@@ -144,7 +145,7 @@ def _sample(docs: DataFrame, settings: Settings) -> DataFrame:
 def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
     """A model of ``docs`` (doc_id, text, lang), of rows with a lang that are not held out.
 
-    Tasks turn the sampled texts into count vectors; the driver gets ``sample_rows`` of them at most, whatever the input.
+    Tasks turn the sampled texts into count vectors; the driver gets max(sample_rows, languages) of them at most.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
