@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from risklattice.session import scratch_path
 
-from . import chat, decontaminate, language, licenses, mixing, records, repeats, sharding, simhash, sketch
+from . import chat, decontaminate, language, licenses, mixing, periods, records, repeats, sharding, simhash, sketch
 from .oracles import ORACLES
 from .shared import table
 
@@ -71,4 +71,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pfair_mix, op2_rendezvous_shards, op3_fuzzy_notices, op4_typed_chat, op5_nearest_centroid, op6_framed_tokens, op7_bucket_pointers, op8_spaced_seeds, op9_bottom_k, op10_simhash)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    edited = docs.select("doc_id", periods.with_repeats(F.col("text"), F.col("doc_id")).alias("text"))
+    return periods.digests(periods.periodic_runs(edited))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pfair_mix, op2_rendezvous_shards, op3_fuzzy_notices, op4_typed_chat, op5_nearest_centroid, op6_framed_tokens, op7_bucket_pointers, op8_spaced_seeds, op9_bottom_k, op10_simhash, op11_periodic_runs)}
