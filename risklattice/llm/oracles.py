@@ -57,4 +57,18 @@ best as (select *, least(n, 13) as size, row_number() over (partition by doc_id,
          from summed where pos + least(n, 13) <= n and matched >= ceil(cast(0.8 as double) * least(n, 13) - 1e-9))
 select doc_id, item_id, matched :: int as n_matched, size :: int as n_window, pos :: int as item_start, (shift + pos) :: int as doc_start from best where rank = 1"""
 
-ORACLES = {"op1_pfair_mix": PFAIR_MIX, "op4_typed_chat": TYPED_CHAT, "op8_spaced_seeds": SPACED_SEEDS}
+NGRAM_JACCARD = r"""
+with recursive split as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from documents),
+sets as (select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+           else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) end as s from split),
+entries as (select doc_id, len(s) as n, unnest(s) as gram from sets),
+product as (select x.doc_id as a, y.doc_id as b, x.n + y.n - count(*) as joint, count(*) as common
+            from entries x join entries y on x.gram = y.gram and x.doc_id <> y.doc_id group by x.doc_id, y.doc_id, x.n, y.n),
+links as (select a, b from product where 100 * common >= 80 * joint),
+reached as (select doc_id, doc_id as other from documents union select r.doc_id, l.b from reached r join links l on r.other = l.a),
+least as (select doc_id, min(other) as component_id from reached group by doc_id)
+select doc_id, len(s) as n_shingles, component_id from sets join least using (doc_id)"""
+
+ORACLES = {"op13_ngram_jaccard": NGRAM_JACCARD, "op1_pfair_mix": PFAIR_MIX, "op4_typed_chat": TYPED_CHAT, "op8_spaced_seeds": SPACED_SEEDS}
