@@ -6,7 +6,7 @@ ones first, and sizes bound what the product can still reach:
 
 * Two sets with a similarity of s share s of the larger one at least, so a pair that shares none of the first columns of its
   rows (all but s of them, and one more) can't reach that. Pairs are made from those columns only.
-* Of these, sizes and the places of the column that is shared rule out pairs.
+* Overlaps are added up over those first columns; sizes, sums and places rule out pairs that the rest can't lift to their bound.
 * For the others overlaps are added up block by block of columns, until a pair is sure to stay below its bound or is done.
 
 Shingles and sets are told apart by 64-bit hashes.
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from risklattice.session import materialise
@@ -110,58 +110,75 @@ def incidence(docs: DataFrame, width: int, percent: int, share: int = 16, least:
     return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, n int, set_id long, columns array<long>, n_crowded int")
 
 
-def _band(n: Column) -> Column:
-    """Sets of one band are similar in size."""
-    return F.floor(F.log(n.cast("double")) / F.log(F.lit(1.25))).cast("int")
+def shared_columns(rows: DataFrame, part_rows: int = 1 << 14) -> DataFrame:
+    """(key, part, set_id, n, pos): entries of ``rows`` (``incidence``) whose column another set shares.
 
-
-def shared_columns(rows: DataFrame) -> DataFrame:
-    """(key, set_id, n, pos, leader, leader_n): entries of ``rows`` (``incidence``) whose column another set shares.
-
-    ``leader`` is the smallest set_id of the column's sets of about the same size. Columns in very many rows are summed up
-    map-side and joined, which Spark may split; all others are sorted once.
+    A column in very many rows is cut into parts by the upper bits of set_id, of some ``part_rows`` rows if all rows have it,
+    so no task sorts it whole.
     """
+    bits = max(0, (rows.count() // part_rows).bit_length())
     sets = rows.filter("set_id is not null").groupBy("set_id").agg(*[F.first(c).alias(c) for c in ("n", "columns", "n_crowded")])
     entries = sets.select("set_id", "n", (F.size("columns") - F.col("n_crowded")).alias("plain"), F.posexplode("columns").alias("pos", "key"))
-    entries = entries.withColumn("band", _band(F.col("n")))
-    ordered = Window.partitionBy("key").orderBy("band", "set_id")
-    inside = Window.partitionBy("key", "band").orderBy("set_id")
-    plain = entries.filter("pos < plain").select(
-        "key", "set_id", "n", "pos", F.first("set_id").over(inside).alias("leader"), F.first("n").over(inside).alias("leader_n"),
-        (F.lag("set_id").over(ordered).isNotNull() | F.lead("set_id").over(ordered).isNotNull()).alias("shared"))
-    late = entries.filter("pos >= plain")
-    first = late.groupBy("key", "band").agg(F.min(F.struct("set_id", "n")).alias("least"))
-    first = first.select(F.col("key").alias("key__"), F.col("band").alias("band__"), "least")
-    crowded = late.join(first, (F.col("key") == F.col("key__")) & (F.col("band") == F.col("band__"))).select(
-        "key", "set_id", "n", "pos", F.col("least.set_id").alias("leader"), F.col("least.n").alias("leader_n"))
-    return plain.filter("shared").drop("shared").union(crowded)
-
-
-def leader_pairs(shared: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of each set with its columns' leaders, where sizes allow ``percent``: most links of large groups, in few pairs."""
-    n, m = F.col("n"), F.col("leader_n")
-    near = shared.filter((F.col("leader") != F.col("set_id")) & (100 * F.least(n, m) >= percent * F.greatest(n, m)))
-    return near.select(F.col("leader").alias("a"), F.col("set_id").alias("b")).distinct()
-
-
-def remaining_pairs(shared: DataFrame, reached: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that may have a similarity of ``percent`` and are not in one component of ``reached`` (node, component).
-
-    All such pairs meet under the first column that they share; those whose sizes, or the places of the column, rule it out
-    are left. Nothing is capped: what is in one component already needs no further link.
+    crowded = F.col("pos") >= F.col("plain")
+    part = F.when(crowded, F.shiftrightunsigned("set_id", 64 - bits)).otherwise(F.lit(0)) if bits else F.lit(0)
+    inside = Window.partitionBy("key", "part").orderBy("set_id")
+    shared = crowded | F.lag("set_id").over(inside).isNotNull() | F.lead("set_id").over(inside).isNotNull()
+    return entries.withColumn("part", part).select("key", "part", "set_id", "n", "pos", shared.alias("shared")).filter("shared").drop("shared")
+
+
+def _summed(pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b, c, needed, rest) of ``pairs`` (a, n, b, m), a row for each of the first columns that two sets share.
+
+    c is the overlap in those columns. What two sets share beyond lies in the rest of the one whose first columns end
+    earlier, and they are similar only if the whole overlap reaches percent * (n + m) / (100 + percent).
     """
+    n, m = F.col("n"), F.col("m")
+    near = pairs.filter(100 * F.least(n, m) >= percent * F.greatest(n, m)).groupBy("a", "b", "n", "m").agg(F.count("*").alias("c"))
+    needed = F.ceil(percent * (n + m) / (100 + percent) - 1e-9).alias("needed")
+    rest = F.ceil(percent * F.greatest(n, m) / 100 - 1e-9) - 1
+    return near.select("a", "b", "c", needed, rest.alias("rest"))
+
+
+def apart(shared: DataFrame, reached: DataFrame | None) -> DataFrame:
+    """``shared`` with the component of each set by ``reached`` (node, component), where a column's sets are in several."""
+    if reached is None:
+        return shared.withColumn("comp", F.col("set_id"))
     known = reached.select(F.col("node").alias("node__"), "component")
-    tagged = shared.select("key", "set_id", "n", "pos").join(known, F.col("set_id") == F.col("node__"), "left")
+    tagged = shared.drop("comp").join(known, F.col("set_id") == F.col("node__"), "left")
     tagged = materialise(tagged.withColumn("comp", F.coalesce("component", "set_id")).drop("node__", "component"), "tagged")
-    apart = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select(F.col("key").alias("key__"))
-    met = materialise(tagged.join(apart, F.col("key") == F.col("key__")).drop("key__"), "met")
+    several = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select(F.col("key").alias("key__"))
+    return materialise(tagged.join(several, F.col("key") == F.col("key__")).drop("key__"), "apart")
+
+
+def neighbour_pairs(met: DataFrame, percent: int, salt: int = 0, most: int = 3) -> DataFrame:
+    """Pairs (a, b): for each set the ``most`` sets of other components with which it shares most of ``met``'s columns.
+
+    Only sets that are next to each other in an order (one for all columns, by ``salt``) are looked at. This is no search: it
+    joins large groups by few links, so that little remains for ``remaining_pairs``. As neighbours are not next to each other
+    in all their columns, a quarter of the sum that a link needs is enough.
+    """
+    order = Window.partitionBy("key", "part").orderBy(F.xxhash64("set_id", F.lit(salt)), "set_id")
+    following = F.array_compact(F.array(*[F.lead(F.struct("set_id", "n", "comp"), i).over(order) for i in range(1, most + 2)]))
+    pairs = met.select(F.col("set_id").alias("a"), "n", "comp", following.alias("others")).select("a", "n", "comp", F.explode("others").alias("other"))
+    pairs = pairs.filter("comp <> other.comp").select("a", "n", F.col("other.set_id").alias("b"), F.col("other.n").alias("m"))
+    best = Window.partitionBy("a").orderBy(F.desc("c"), "b")
+    found = _summed(pairs, percent).filter(4 * F.col("c") + F.col("rest") >= F.col("needed"))
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= most).select("a", "b")
+
+
+def remaining_pairs(met: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of ``met`` that may have a similarity of ``percent`` and are in different components.
+
+    All such pairs meet under the first column that they share; what their rows have before it they don't share, so its
+    places, and the sizes, rule out pairs. Nothing is capped.
+    """
     one, two = (met.select(*[F.col(c).alias(f"{c}{i}") for c in ("key", "set_id", "n", "pos", "comp")]) for i in (1, 2))
     n, m = F.col("n1"), F.col("n2")
     enough = 100 * F.least(n, m) >= percent * F.greatest(n, m)
     # overlap o of sizes n and m is similar enough from o * (100 + percent) >= percent * (n + m) on
     enough &= F.least(n - F.col("pos1"), m - F.col("pos2")) * (100 + percent) >= percent * (n + m)
-    both = one.join(two, (F.col("key1") == F.col("key2")) & (F.col("comp1") < F.col("comp2")) & enough)
-    return both.select(F.least("set_id1", "set_id2").alias("a"), F.greatest("set_id1", "set_id2").alias("b")).distinct()
+    both = one.join(two, (F.col("key1") == F.col("key2")) & (F.col("set_id1") < F.col("set_id2")) & (F.col("comp1") != F.col("comp2")) & enough)
+    return both.select(F.col("set_id1").alias("a"), F.col("set_id2").alias("b")).distinct()
 
 
 def overlap_reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -212,23 +229,35 @@ def texts_of(docs: DataFrame, rows: DataFrame, shared: DataFrame) -> DataFrame:
     return found.dropDuplicates(["set_id"]).select("set_id", "text")
 
 
-def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, **order) -> DataFrame:
+def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = 3, **order) -> DataFrame:
     """(doc_id, n_shingles, set_id, component_id) for each row of ``docs`` (doc_id, text); other columns are not carried.
 
     Rows are linked if their sets of ``width``-word shingles have a Jaccard similarity of ``percent`` hundredths or more;
     component_id is the smallest doc_id that links reach, the row's own included. Equal sets are one node from the start, so
     copies cost nothing; set_id names the set. Null, empty and blank texts have no set and are linked with nothing: their
     component_id is their doc_id. Null ids are passed over for component_id (null only if the whole component has null ids).
-    Repeated rows are kept, an empty table gives an empty one. ``order`` goes to ``incidence`` and changes no result.
+    Repeated rows are kept, an empty table gives an empty one. ``rounds``, and ``order``, which goes to ``incidence``, change no result.
     """
     rows = materialise(incidence(docs, width, percent, **order), "incidence")
     shared = materialise(shared_columns(rows), "shared")
     texts = materialise(texts_of(docs, rows, shared), "texts")
-    first = materialise(similar_pairs(leader_pairs(shared, percent), texts, width, percent), "first_links")
-    reached = components(first)
-    others = similar_pairs(remaining_pairs(shared, reached, percent), texts, width, percent)
-    links = others.union(reached.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
-    return with_components(rows, components(links))
+    return with_components(rows, joined_sets(shared, texts, width, percent, rounds=rounds))
+
+
+def joined_sets(shared: DataFrame, texts: DataFrame, width: int, percent: int, links: DataFrame | None = None, rounds: int = 3) -> DataFrame:
+    """(node, component) of the sets that links join, from the shared columns and texts of all, and ``links`` known already.
+
+    A few rounds of neighbours join most of what is linked; then all pairs that are still apart are looked at.
+    """
+    reached = components(links) if links is not None else None
+    for turn in range(rounds + 1):
+        shared = apart(shared, reached)
+        pairs = neighbour_pairs(shared, percent, turn) if turn < rounds else remaining_pairs(shared, percent)
+        found = similar_pairs(pairs, texts, width, percent)
+        if reached is not None:
+            found = found.union(reached.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
+        reached = components(found)
+    return reached
 
 
 def with_components(rows: DataFrame, reached: DataFrame) -> DataFrame:
