@@ -71,4 +71,23 @@ reached as (select doc_id, doc_id as other from documents union select r.doc_id,
 least as (select doc_id, min(other) as component_id from reached group by doc_id)
 select doc_id, len(s) as n_shingles, component_id from sets join least using (doc_id)"""
 
-ORACLES = {"op13_ngram_jaccard": NGRAM_JACCARD, "op1_pfair_mix": PFAIR_MIX, "op4_typed_chat": TYPED_CHAT, "op8_spaced_seeds": SPACED_SEEDS}
+PHRASE_COLLOCATIONS = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents),
+runs as (select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as w from pieces),
+totals as (select lang, sum(len(w)) :: bigint as n from runs group by lang),
+grams as (select lang, m, array_to_string(w[i : i + m - 1], ' ') as phrase
+          from (select lang, w, m, unnest(range(1, len(w) - m + 2)) as i from (select lang, w, unnest(range(1, 6)) as m from runs))),
+f as materialized (select lang, m, phrase, count(*) as a from grams group by lang, m, phrase having count(*) >= 100),
+cut as (select lang, m, phrase, a, string_split(phrase, ' ') as w, unnest(range(1, m)) as k from f where m >= 2),
+sides as (select c.lang, c.phrase, c.a, k, l.a as l, r.a as r, n, ((1000 :: hugeint * c.a * n) // (l.a :: hugeint * r.a)) :: bigint as score
+          from cut c join f l on l.lang = c.lang and l.phrase = array_to_string(w[1 : k], ' ')
+          join f r on r.lang = c.lang and r.phrase = array_to_string(w[k + 1 :], ' ') join totals t on t.lang = c.lang),
+lowest as (select * from (select *, row_number() over (partition by lang, phrase order by score, k) as place from sides) where place = 1),
+open as (select * from lowest p where not exists (
+  select 1 from f q where q.lang = p.lang and q.a = p.a and length(q.phrase) > length(p.phrase) and contains(' ' || q.phrase || ' ', ' ' || p.phrase || ' '))),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from open)
+select lang, rank, phrase, a, l, r, n, score from ranked where rank <= 2000"""
+
+ORACLES = {"op12_phrase_collocations": PHRASE_COLLOCATIONS, "op13_ngram_jaccard": NGRAM_JACCARD, "op1_pfair_mix": PFAIR_MIX, "op4_typed_chat": TYPED_CHAT, "op8_spaced_seeds": SPACED_SEEDS}

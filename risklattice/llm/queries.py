@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from risklattice.session import scratch_path
 
-from . import chat, decontaminate, jaccard, language, licenses, mixing, periods, records, repeats, sharding, simhash, sketch
+from . import chat, decontaminate, jaccard, language, licenses, mixing, periods, phrases, records, repeats, sharding, simhash, sketch
 from .oracles import ORACLES
 from .shared import table
 
@@ -77,8 +77,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.digests(periods.periodic_runs(edited))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pfair_mix, op2_rendezvous_shards, op3_fuzzy_notices, op4_typed_chat, op5_nearest_centroid, op6_framed_tokens, op7_bucket_pointers, op8_spaced_seeds, op9_bottom_k, op10_simhash, op11_periodic_runs, op13_ngram_jaccard)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pfair_mix, op2_rendezvous_shards, op3_fuzzy_notices, op4_typed_chat, op5_nearest_centroid, op6_framed_tokens, op7_bucket_pointers, op8_spaced_seeds, op9_bottom_k, op10_simhash, op11_periodic_runs, op12_phrase_collocations, op13_ngram_jaccard)}
