@@ -61,6 +61,28 @@ def _by_language(batch: pa.RecordBatch) -> dict[str, list[list[bytes]]]:
     return out
 
 
+class _Codes(dict):
+    """Numbers words as they come; 0 is the break. Keeps what the filters say of each."""
+
+    def __init__(self, lang: str, first: Filter, frequent: Filter):
+        super().__init__({_BREAK: 0})
+        self.names, self.filters, self.lang = [_BREAK], (first, frequent), lang
+        self.starts, self.follows, self.marks = np.zeros(1, bool), np.zeros(1, bool), np.zeros(1, np.int64)
+
+    def __missing__(self, word: bytes) -> int:
+        self.names.append(word)
+        self[word] = number = len(self)
+        return number
+
+    def encode(self, texts: list[list[bytes]]) -> np.ndarray:
+        code = np.concatenate([np.fromiter(map(self.__getitem__, words), np.int64, len(words)) for words in texts])
+        new = self.names[len(self.starts) :]
+        first, frequent = (f.has(self.lang, new) for f in self.filters)
+        self.starts, self.follows = np.concatenate((self.starts, first)), np.concatenate((self.follows, frequent))
+        self.marks = np.concatenate((self.marks, np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new)).view(np.int64)))
+        return code
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(lang, phrase, n) for each word of ``docs`` (lang, text)."""
 
@@ -86,19 +108,10 @@ def count_phrases(docs: DataFrame, first: Filter, frequent: Filter, known: Filte
     ``before`` and ``after`` are the hash of the word that stands before, or after, all occurrences, and else 0.
     """
 
-    def grams(lang: str, texts: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
-        ids: dict[bytes, int] = {_BREAK: 0}
-        for words in texts:
-            for word in set(words):
-                ids.setdefault(word, len(ids))
-        names = list(ids)
-        size = len(names)
-        starts, follows = first.has(lang, names), frequent.has(lang, names)
-        starts[0] = follows[0] = False
-        marks = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, size).view(np.int64)
-        marks[0] = 0
-        code = np.concatenate([np.fromiter(map(ids.__getitem__, words), np.int64, len(words)) for words in texts] + [np.zeros(lengths[-1] + 1, np.int64)])
-        at = np.flatnonzero(starts[code] & follows[code])
+    def grams(codes: _Codes, texts: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
+        code = np.concatenate((codes.encode(texts), np.zeros(lengths[-1] + 1, np.int64)))
+        lang, names, size, follows, marks = codes.lang, codes.names, len(codes.names), codes.follows, codes.marks
+        at = np.flatnonzero(codes.starts[code] & follows[code])
         group = code[at]
         spelled = names
         for words in range(2, lengths[-1] + 1):
@@ -129,10 +142,15 @@ def count_phrases(docs: DataFrame, first: Filter, frequent: Filter, known: Filte
                  pa.array(n.astype(np.int64)), pa.array(sides[0]), pa.array(sides[1])], names=["lang", "phrase", "words", "n", "before", "after"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known_codes: dict[str, _Codes] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 for lang, texts in _by_language(batch.slice(at, 2048)).items():
-                    yield from grams(lang, texts)
+                    if sum(map(len, known_codes.values())) > 1 << 20:
+                        known_codes.clear()
+                    if lang not in known_codes:
+                        known_codes[lang] = _Codes(lang, first, frequent)
+                    yield from grams(known_codes[lang], texts)
 
     one = lambda c: F.when(F.min(c) == F.max(c), F.min(c)).otherwise(F.lit(0)).alias(c)
     return docs.select("lang", "text").mapInArrow(run, _GRAMS).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"), one("before"), one("after"))
@@ -173,7 +191,7 @@ def best(found: DataFrame, top: int) -> DataFrame:
     return ranked.filter(F.col("rank") <= top)
 
 
-def collocations(docs: DataFrame, top: int = 2000, least: int = 100, longest: int = 5, first_wave: int = 8, step: int = 64) -> DataFrame:
+def collocations(docs: DataFrame, top: int = 2000, least: int = 100, longest: int = 5, first_wave: int = 8, step: int = 4096) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the ``top`` phrases of each language of ``docs`` (lang, text) by their score.
 
     A-Z are lower-cased; phrases have two to ``longest`` words, occur ``least`` times or more, and don't cross ``.,;:!?`` or
