@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import let, row_id
+from .shared import fresh, let, row_id
 
 MASKS = ("1111011", "111010011")
 WINDOW, SHARE = 13, 0.8
@@ -102,6 +102,7 @@ def overlaps(
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """Rows of ``docs`` that share no passage with any item, with all their columns."""
-    tagged = docs.withColumn("row__", row_id(docs))
-    found = overlaps(tagged.select(F.col("row__").alias("doc_id"), "text"), benchmark, **how).select(F.col("doc_id").alias("found__")).distinct()
-    return tagged.join(found, F.col("row__") == F.col("found__"), "left_anti").select(*docs.columns)
+    row, hit = fresh(docs, "row__"), fresh(docs, "found__")
+    tagged = docs.withColumn(row, row_id(docs))
+    found = overlaps(tagged.select(F.col(row).alias("doc_id"), "text"), benchmark, **how).select(F.col("doc_id").alias(hit)).distinct()
+    return tagged.join(found, F.col(row) == F.col(hit), "left_anti").select(*docs.columns)

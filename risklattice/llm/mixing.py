@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import code, let, row_id, running_total
+from .shared import code, fresh, let, row_id, running_total
 
 
 def weights_by_size(docs: DataFrame, power: float = 0.5, resolution: int = 1000) -> DataFrame:
@@ -77,8 +77,9 @@ def in_order(docs: DataFrame, weights: DataFrame, block: int = 64, seed: int = 1
 
     Rows that agree in all columns take one place after the other.
     """
-    tagged = docs.withColumn("row__", row_id(docs))
-    planned = mix(tagged.select(F.col("row__").alias("doc_id"), "source"), weights, block, seed)
-    first = planned.groupBy(F.col("doc_id").alias("planned__")).agg(F.min("position").alias("position__"))
-    placed = tagged.join(first, F.col("row__") == F.col("planned__"))
-    return placed.repartitionByRange("position__").sortWithinPartitions("position__").select(*docs.columns)
+    row, planned_row, position = (fresh(docs, name) for name in ("row__", "planned__", "position__"))
+    tagged = docs.withColumn(row, row_id(docs))
+    planned = mix(tagged.select(F.col(row).alias("doc_id"), "source"), weights, block, seed)
+    first = planned.groupBy(F.col("doc_id").alias(planned_row)).agg(F.min("position").alias(position))
+    placed = tagged.join(first, F.col(row) == F.col(planned_row))
+    return placed.repartitionByRange(position).sortWithinPartitions(position).select(*docs.columns)

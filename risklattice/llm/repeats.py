@@ -279,9 +279,12 @@ def _joined(rows: np.ndarray, bucket: int) -> list[tuple]:
     """Ranges by text, with neighbouring windows made one range."""
     single = rows[rows["first"] == rows["last"]]
     single = single[np.lexsort((single["first"], single["text"]))]
-    first, last = runs(single["text"] * (1 << 33) + single["first"])  # starts of different texts are never neighbours
-    made = np.zeros(len(first), RANGE)
-    made["text"], made["first"], made["last"] = first >> 33, first & ((1 << 33) - 1), last & ((1 << 33) - 1)
+    new = np.ones(len(single), bool)
+    new[1:] = (single["text"][1:] != single["text"][:-1]) | (single["first"][1:] != single["first"][:-1] + 1)
+    heads = np.flatnonzero(new)
+    made = np.zeros(len(heads), RANGE)
+    made["text"], made["first"] = single["text"][heads], single["first"][heads]
+    made["last"] = single["first"][np.append(heads[1:], len(single)) - 1] if len(heads) else made["first"]
     return _by_text(np.concatenate((made, rows[rows["first"] != rows["last"]])), bucket, REMOVED)
 
 

@@ -25,6 +25,14 @@ def row_id(df: DataFrame) -> Column:
     return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.hex(F.xxhash64(*[F.col(c) for c in df.columns])))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or one made from it that no column of ``df`` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, which is computed once however often the body names it."""
     return F.get(F.transform(F.array(value), body), 0)
