@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.ordered import exact_quantiles, ordered_prefix, value_bin
+from ..functions.ordered import exact_quantiles, ordered_prefix
+from ..session import materialise
 
 KM_PER_CELL = 1.0
 HOURS_PER_CELL = 5.0 / 60.0
@@ -355,9 +356,36 @@ def _multiplicities(days: int, reps: int, seed: int) -> np.ndarray:
     return out
 
 
+def score_ranges(counts: DataFrame, by: Sequence[str], score: str, rows: int) -> DataFrame:
+    """(``by``, ``score``, _range) for each score of a group: ranges from the highest down, of ``rows`` rows of ``counts`` each.
+
+    A range goes on until its last score is complete, so it holds fewer than ``rows`` plus the rows of one score. Counts of
+    equal scores add up map-side; running totals are taken inside value bins, whose totals are carried across.
+    """
+    cumulative = ordered_prefix(counts.select(*by, score, F.lit(1).cast("long").alias("_r")), by, score, ["_r"], descending=True)
+    return cumulative.select(*by, score, F.floor((F.col("cum__r") - F.col("_r")) / rows).cast("long").alias("_range"))
+
+
+def _totals_above(by: Sequence[str], part: str, n: int, seed: int):
+    """Reads (by, part, _d, _days, _n, _p); for each part, per replicate, the rows and positives of all parts before it."""
+
+    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
+        weights = _multiplicities(int(pdf["_days"].iloc[0]), n, seed)
+        rows, above_n, above_p = [], np.zeros(n), np.zeros(n)
+        head = [pdf[c].iloc[0] for c in by]
+        for b, own in pdf.groupby(part, sort=True):
+            rows.append([*head, b, above_n.copy(), above_p.copy()])
+            w = weights[own["_d"].to_numpy()]
+            above_n += own["_n"].to_numpy() @ w
+            above_p += own["_p"].to_numpy() @ w
+        return pd.DataFrame(rows, columns=[*by, part, "_cn", "_cp"])
+
+    return carry
+
+
 def bootstrap_days(
     df: DataFrame, y: str, score: str, day: str, by: Sequence[str], n: int = 1000, seed: int = 12345,
-    within: Sequence[str] = (),
+    within: Sequence[str] = (), range_rows: int = 16_384,
 ) -> DataFrame:
     """Average precision and AUROC of day-block resamples shared by all groups.
 
@@ -365,9 +393,12 @@ def bootstrap_days(
     ``by``), so all groups of a contrast see the same resamples of its days.
 
     The data are reduced once to (group, day, score) counts. Those are cut into
-    score bins; a task holds one bin and all replicates as a matrix, starting
-    from the totals of the bins above it, so rows are never multiplied by the
-    number of replicates. Degenerate resamples are left out; ``rep`` is the key.
+    score ranges of equal count, however the scores are spread: a task holds one
+    range, fewer than ``range_rows`` rows plus one per day, and all replicates as
+    a matrix, starting from the totals of the ranges above it, so rows are never
+    multiplied by the number of replicates. Totals are carried in two steps,
+    across blocks of 4096 ranges and inside them. Rows without a score are left
+    out, as are degenerate resamples; ``rep`` is the key.
     """
     by, within = list(by), list(within)
     days = df.select(*within, F.col(day).alias("_day")).distinct()
@@ -376,27 +407,23 @@ def bootstrap_days(
         *within, "_day", (F.row_number().over(numbered.orderBy("_day")) - 1).alias("_d"),
         F.count(F.lit(1)).over(numbered).alias("_days"),
     )
-    hist = (
-        df.groupBy(*by, F.col(day).alias("_day"), F.col(score).cast("double").alias("_s"))
+    counts = materialise(
+        df.filter(F.col(score).isNotNull())
+        .groupBy(*by, F.col(day).alias("_day"), F.col(score).cast("double").alias("_s"))
         .agg(F.count(F.lit(1)).alias("_n"), F.sum(_flag(y)).alias("_p"))
         .join(listed, [*within, "_day"])
-        .select(*by, value_bin("_s", 64).alias("_bin"), "_d", "_s", "_n", "_p", "_days")
-    )
+        .select(*by, "_d", "_s", "_n", "_p", "_days"), "score_counts")
+    ranges = score_ranges(counts, by, "_s", range_rows)
+    hist = counts.join(ranges, [*by, "_s"]).withColumn("_block", F.floor(F.col("_range") / 4096))
     key_types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hist.select(*by).schema.fields)
-    bins = hist.groupBy(*by, "_bin", "_d", "_days").agg(F.sum("_n").alias("_n"), F.sum("_p").alias("_p"))
+    prefix = f"{key_types}, " if by else ""
 
-    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
-        weights = _multiplicities(int(pdf["_days"].iloc[0]), n, seed)
-        rows, above_n, above_p = [], np.zeros(n), np.zeros(n)
-        head = [pdf[c].iloc[0] for c in by]
-        for b, part in sorted(pdf.groupby("_bin"), key=lambda g: -g[0]):
-            rows.append([*head, b, above_n.copy(), above_p.copy()])
-            w = weights[part["_d"].to_numpy()]
-            above_n += part["_n"].to_numpy() @ w
-            above_p += part["_p"].to_numpy() @ w
-        return pd.DataFrame(rows, columns=[*by, "_bin", "_cn", "_cp"])
+    def above(keys: list[str], part: str, types: str) -> DataFrame:
+        totals = hist.groupBy(*keys, part, "_d", "_days").agg(F.sum("_n").alias("_n"), F.sum("_p").alias("_p"))
+        carried = totals.groupBy(*keys).applyInPandas(_totals_above(keys, part, n, seed), f"{types}{part} long, _cn array<double>, _cp array<double>")
+        return carried
 
-    def score_bin(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def score_range(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         weights = _multiplicities(int(left["_days"].iloc[0]), n, seed)
         left = left.sort_values("_s", ascending=False, kind="stable")
         s = left["_s"].to_numpy()
@@ -404,9 +431,10 @@ def bootstrap_days(
         day_of, num, pos = (left[c].to_numpy() for c in ("_d", "_n", "_p"))
         cn, cp = np.asarray(right["_cn"].iloc[0], float), np.asarray(right["_cp"].iloc[0], float)
         ap, u, tot_n, tot_p = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
-        for i in range(0, len(starts), 2048):
-            cut = starts[i : i + 2048]
-            end = starts[i + 2048] if i + 2048 < len(starts) else len(s)
+        i = 0
+        while i < len(starts):  # some 2048 rows at a time, and all of a score
+            j = max(i + 1, int(np.searchsorted(starts, starts[i] + 2048)))
+            cut, end = starts[i:j], starts[j] if j < len(starts) else len(s)
             w = weights[day_of[cut[0] : end]]
             wn = np.add.reduceat(w * num[cut[0] : end, None], cut - cut[0])
             wp = np.add.reduceat(w * pos[cut[0] : end, None], cut - cut[0])
@@ -415,20 +443,22 @@ def bootstrap_days(
             u += (wp * ((wn - wp) / 2 - (run_n - run_p))).sum(axis=0)
             cn, cp = run_n[-1], run_p[-1]
             tot_n, tot_p = tot_n + wn.sum(axis=0), tot_p + wp.sum(axis=0)
+            i = j
         head = {c: left[c].iloc[0] for c in by}
         return pd.DataFrame({**head, "rep": np.arange(n), "_ap": ap, "_u": u, "_n": tot_n, "_p": tot_p})[
             [*by, "rep", "_ap", "_u", "_n", "_p"]
         ]
 
-    prefix = f"{key_types}, " if by else ""
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # a fixed number of tasks: adaptive coalescing goes by bytes, the work here is per bin
-    hist = hist.repartition(tasks, *by, "_bin")
-    carried = bins.groupBy(*by).applyInPandas(carry, f"{prefix}_bin long, _cn array<double>, _cp array<double>")
+    blocks = above(by, "_block", prefix).withColumnsRenamed({"_cn": "_bn", "_cp": "_bp"})
+    inner = above([*by, "_block"], "_range", f"{prefix}_block long, ")
+    plus = lambda a, b: F.zip_with(a, b, lambda x, z: x + z)
+    carried = inner.join(blocks, [*by, "_block"]).select(*by, "_range", plus("_cn", "_bn").alias("_cn"), plus("_cp", "_bp").alias("_cp"))
+    # a fixed number of tasks: adaptive coalescing goes by bytes, the work here is per range
     parts = (
-        hist.groupBy(*by, "_bin")
-        .cogroup(carried.repartition(tasks, *by, "_bin").groupBy(*by, "_bin"))
-        .applyInPandas(score_bin, f"{prefix}rep int, _ap double, _u double, _n double, _p double")
+        hist.repartition(tasks, *by, "_range").groupBy(*by, "_range")
+        .cogroup(carried.repartition(tasks, *by, "_range").groupBy(*by, "_range"))
+        .applyInPandas(score_range, f"{prefix}rep int, _ap double, _u double, _n double, _p double")
     )
     sums = parts.groupBy(*by, "rep").agg(*[F.sum(c).alias(c) for c in ("_ap", "_u", "_n", "_p")])
     p, q = F.col("_p"), F.col("_n") - F.col("_p")
