@@ -181,6 +181,20 @@ def remaining_pairs(met: DataFrame, percent: int) -> DataFrame:
     return both.select(F.col("set_id1").alias("a"), F.col("set_id2").alias("b")).distinct()
 
 
+def within_reach(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose first columns, in ``rows`` (``incidence``), share enough for the rest to make up.
+
+    What two sets share beyond their first columns lies in the rest of the one whose first columns end earlier.
+    """
+    sets = rows.filter("set_id is not null").groupBy("set_id").agg(F.first("n").alias("n"), F.first("columns").alias("columns"))
+    one, two = (sets.select(*[F.col(c).alias(f"{c}_{x}") for c in ("set_id", "n", "columns")]) for x in "ab")
+    both = pairs.join(two, F.col("b") == F.col("set_id_b")).join(one, F.col("a") == F.col("set_id_a"))
+    n, m = F.col("n_a"), F.col("n_b")
+    needed = F.ceil(percent * (n + m) / (100 + percent) - 1e-9)
+    rest = F.ceil(percent * F.greatest(n, m) / 100 - 1e-9) - 1
+    return both.filter(F.size(F.array_intersect("columns_a", "columns_b")) + rest >= needed).select("a", "b")
+
+
 def overlap_reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """Whether two sorted sets are ``percent`` similar. Blocks of columns are added up while the rest can still make it."""
     needed = -(-percent * (len(x) + len(y)) // (100 + percent))
@@ -241,18 +255,18 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int
     rows = materialise(incidence(docs, width, percent, **order), "incidence")
     shared = materialise(shared_columns(rows), "shared")
     texts = materialise(texts_of(docs, rows, shared), "texts")
-    return with_components(rows, joined_sets(shared, texts, width, percent, rounds=rounds))
+    return with_components(rows, joined_sets(rows, shared, texts, width, percent, rounds=rounds))
 
 
-def joined_sets(shared: DataFrame, texts: DataFrame, width: int, percent: int, links: DataFrame | None = None, rounds: int = 3) -> DataFrame:
-    """(node, component) of the sets that links join, from the shared columns and texts of all, and ``links`` known already.
+def joined_sets(rows: DataFrame, shared: DataFrame, texts: DataFrame, width: int, percent: int, links: DataFrame | None = None, rounds: int = 3) -> DataFrame:
+    """(node, component) of the sets of ``rows`` that links join, from their shared columns and texts, and ``links`` known already.
 
     A few rounds of neighbours join most of what is linked; then all pairs that are still apart are looked at.
     """
     reached = components(links) if links is not None else None
     for turn in range(rounds + 1):
         shared = apart(shared, reached)
-        pairs = neighbour_pairs(shared, percent, turn) if turn < rounds else remaining_pairs(shared, percent)
+        pairs = neighbour_pairs(shared, percent, turn) if turn < rounds else within_reach(remaining_pairs(shared, percent), rows, percent)
         found = similar_pairs(pairs, texts, width, percent)
         if reached is not None:
             found = found.union(reached.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
