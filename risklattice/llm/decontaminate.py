@@ -1,12 +1,14 @@
 """Benchmark decontamination: spaced seeds of benchmark items are looked up in the documents, and overlaps around hits checked.
 
 A seed is a hash of the tokens that a fixed mask selects; the tokens between them may differ. The two default masks leave no
-window of 13 tokens with up to two substitutions without a common seed (``tests/llm``).
+window of 13 tokens with up to two substitutions without a common seed (``tests/llm``). An item shorter than that is cut into
+one piece more than it may have substitutions, of which one is whole: the pieces are its seeds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +38,13 @@ def _all_seeds(h: Column, masks: Sequence[str]) -> Column:
     return F.concat(*[_seeds(h, m, i) for i, m in enumerate(masks)])
 
 
+def pieces(n: int, share: float) -> list[tuple[int, int]]:
+    """(start, length) of the parts of an item of n tokens, one of which a passage with ``share`` of its tokens has whole."""
+    parts = n - ceil(share * n - 1e-9) + 1
+    ends = [n * i // parts for i in range(parts + 1)]
+    return [(a, b - a) for a, b in zip(ends, ends[1:])]
+
+
 def _best(doc: Column, item: Column, shift: Column, window: int) -> Column:
     """(matched, start, length) of the window of the item with the most tokens that agree where the document is laid under it.
 
@@ -60,19 +69,21 @@ def overlaps(
     ``docs`` has doc_id and text, ``benchmark`` item_id and text; other columns are not carried. A passage is a window of
     ``window`` of the item's tokens, or all of a shorter item, of which ``share`` stand in the document in the same places;
     the best one is reported, the first of equals. Rows that agree in doc_id, or items in item_id, are reported as one; null
-    ids are ids. Texts without tokens match nothing. Items too short for the longest mask are looked up as a whole.
+    ids are ids. Texts without tokens match nothing. Items shorter than ``window`` are looked up by their ``pieces``.
 
     Up to ``broadcast_seeds`` seeds of the benchmark, which are counted first, go to every task and documents stay where they
     are. Beyond, seeds of both sides meet in a shuffle, and documents meet the few places found in them once more.
     """
     items = benchmark.select("item_id", tokens(F.col("text")).alias("item")).filter(F.size("item") > 0)
-    span = max(map(len, masks))
-    short = [r[0] for r in items.filter(F.size("item") < span).select(F.size("item")).distinct().collect()]  # fewer than ``span``
-    whole = {n: len(masks) + i for i, n in enumerate(sorted(short))}
-    every = [*masks, *["1" * n for n in sorted(whole)]]
-    usable = F.filter(F.array(*[F.struct(F.lit(i).alias("n"), _seeds(F.col("item"), m, i).alias("s")) for i, m in enumerate(every)]), lambda x: (
-        (x["n"] < len(masks)) | F.coalesce(F.get(F.array(*[F.lit(len(m)) for m in every]), x["n"]) == F.size("item"), F.lit(False))))
-    wanted = items.select("item_id", "item", F.explode(F.flatten(F.transform(usable, lambda x: x["s"]))).alias("s"))
+    short = sorted(r[0] for r in items.filter(F.size("item") < window).select(F.size("item")).distinct().collect())  # fewer than ``window``
+    lengths = sorted({length for n in short for _, length in pieces(n, share)})
+    every = [*masks, *["1" * n for n in lengths]]
+    seeds = _all_seeds(F.col("item"), masks)
+    for n in short:
+        own = [F.struct(F.lit(start).alias("pos"), F.xxhash64(F.lit(len(masks) + lengths.index(length)), *[F.get("item", start + k) for k in range(length)]).alias("seed"))
+               for start, length in pieces(n, share)]
+        seeds = F.when(F.size("item") == n, F.array(*own)).otherwise(seeds)
+    wanted = items.select("item_id", F.explode(seeds).alias("s"))
     wanted = wanted.select("item_id", F.col("s.pos").alias("item_pos"), F.col("s.seed").alias("item_seed")).distinct()
     hashed = docs.select("doc_id", "text", tokens(F.col("text")).alias("h"))
     if wanted.count() <= broadcast_seeds:

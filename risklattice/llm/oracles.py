@@ -38,17 +38,27 @@ from escaped group by conv_id"""
 _WORDS = r"""list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"""
 
 
+#: Items under 13 tokens: n, and start and length of each of one piece more than a fifth of n.
+_PIECES = [(n, n * i // k, n * (i + 1) // k - n * i // k) for n in range(1, 13) for k in [n // 5 + 1] for i in range(k)]
+_SHORT = " ".join(f"when {length} then concat_ws('|', {', '.join(f'w{i}' for i in range(length))})" for length in range(1, 6))
+
+
 def _tokens(name: str, table: str, key: str) -> str:
     ahead = ", ".join(f"lead(w, {i}) over run as w{i}" for i in range(1, 9))
+    long = "n >= 13 and" if name == "item" else ""
+    parts = ", ".join(map(str, _PIECES if name == "item" else [(0, 0, length) for length in range(1, 6)]))
+    own = "r.n = p.n and r.pos = p.start" if name == "item" else "r.pos + p.length <= r.n and p.length in (select length from short_lengths)"
     return f"""{name}_words as (select {key}, unnest(l) as w, unnest(range(len(l))) as pos, len(l) as n from (select {key}, {_WORDS} as l from {table})),
-{name}_runs as (select {key}, pos, w as w0, {ahead} from {name}_words window run as (partition by {key} order by pos)),
-{name}_seeds as (select {key}, pos, 0 as mask, concat_ws('|', w0, w1, w2, w3, w5, w6) as seed from {name}_runs where w6 is not null
-  union all select {key}, pos, 1, concat_ws('|', w0, w1, w2, w4, w7, w8) from {name}_runs where w8 is not null)"""
+{name}_runs as (select {key}, pos, n, w as w0, {ahead} from {name}_words window run as (partition by {key} order by pos)),
+{name}_seeds as (select {key}, pos, 0 as mask, concat_ws('|', w0, w1, w2, w3, w5, w6) as seed from {name}_runs where {long} w6 is not null
+  union all select {key}, pos, 1, concat_ws('|', w0, w1, w2, w4, w7, w8) from {name}_runs where {long} w8 is not null
+  union all select {key}, pos, 10 + length, case length {_SHORT} end from {name}_runs r join (select * from (values {parts}) v(n, start, length)) p on {own})"""
 
 
 SPACED_SEEDS = f"""
-with {_tokens("doc", "documents", "doc_id")},
-{_tokens("item", "benchmark", "item_id")},
+with {_tokens("item", "benchmark", "item_id")},
+short_lengths as (select distinct mask - 10 as length from item_seeds where mask > 10),
+{_tokens("doc", "documents", "doc_id")},
 hits as (select distinct doc_id, item_id, d.pos - i.pos as shift from doc_seeds d join item_seeds i on d.mask = i.mask and d.seed = i.seed),
 laid as (select h.doc_id, h.item_id, shift, i.pos, i.n, coalesce(d.w = i.w, false) :: int as agree
          from hits h join item_words i on h.item_id = i.item_id left join doc_words d on h.doc_id = d.doc_id and d.pos = shift + i.pos),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import code, running_total
+from .shared import code, fresh, running_total
 
 
 def _bid(key: Column, shard: Column, weight: Column) -> Column:
@@ -26,11 +26,12 @@ def assign(records: DataFrame, key: str, weights: Sequence[float], grown_weight:
     """
     shards = F.array(*[F.struct(F.lit(i).alias("shard"), F.lit(float(w)).alias("weight")) for i, w in enumerate(weights)])
     bids = F.transform(shards, lambda s: F.struct(_bid(F.col(key), s["shard"], s["weight"]).alias("bid"), s["shard"].alias("shard")))
-    out = records.withColumn("best__", F.array_max(bids))
+    best = fresh(records, "best__")
+    out = records.withColumn(best, F.array_max(bids))
     extra = len(weights)
     grown = F.lit(None).cast("int") if grown_weight is None else F.when(
-        _bid(F.col(key), F.lit(extra), F.lit(float(grown_weight))) > F.col("best__.bid"), F.lit(extra)).otherwise(F.col("best__.shard"))
-    return out.withColumn("shard", F.col("best__.shard")).withColumn("grown_shard", grown.cast("int")).drop("best__")
+        _bid(F.col(key), F.lit(extra), F.lit(float(grown_weight))) > F.col(f"{best}.bid"), F.lit(extra)).otherwise(F.col(f"{best}.shard"))
+    return out.withColumn("shard", F.col(f"{best}.shard")).withColumn("grown_shard", grown.cast("int")).drop(best)
 
 
 def shard_documents(docs: DataFrame, weights: Sequence[float] = (1.0,) * 8, grown_weight: float | None = 1.0, buckets: int = 4096) -> DataFrame:

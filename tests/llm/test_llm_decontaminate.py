@@ -37,6 +37,7 @@ def sample():
     vocabulary = [f"w{i}" for i in range(400)]
     say = lambda n: list(rng.choice(vocabulary, n))
     items = [(i, say(int(rng.integers(13, 30)))) for i in range(12)] + [(50, say(4)), (51, say(7)), (52, []), (None, say(15))]
+    items += [(100 + n, say(n)) for n in range(1, 13)]
     docs = []
     for i in range(60):
         own = say(int(rng.integers(0, 60)))
@@ -45,6 +46,10 @@ def sample():
             if len(taken) >= 13:
                 taken[int(rng.integers(0, len(taken)))] = "changed"
         docs.append((i, " ".join(own + (taken if i % 2 else taken[: len(taken) // 3]) + say(10))))
+    for n in range(1, 13):  # all substitutions that a short item may have, wherever they are
+        for gone in combinations(range(n), n - int(np.ceil(0.8 * n - 1e-9))):
+            taken = [f"gone{i}" if i in gone else w for i, w in enumerate(dict(items)[100 + n])]
+            docs.append((1000 * n + len(docs), " ".join(say(3) + taken + say(3))))
     items = [(i, ", ".join(t).title()) for i, t in items]
     return docs + [(None, docs[1][1]), (1, docs[1][1]), (90, None), (91, "")], items + [(None, items[0][1]), (53, None)]
 
@@ -64,17 +69,18 @@ def test_equals_plain_search(spark):
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit("own")).withColumn("h", F.lit("own"))
     b = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit("own"))
     wanted = slow(docs, items)
-    assert len(wanted) > 25
+    assert len(wanted) > 200
     assert found(D.overlaps(d, b)) == wanted
     assert found(D.overlaps(d, b, broadcast_seeds=0)) == wanted
 
 
 def test_clean_rows_stay(spark):
     docs, items = sample()
-    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("row__", F.lit(1))
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("row__", F.lit("own")).withColumn("FOUND__", F.lit(1))
     b = spark.createDataFrame(items, "item_id long, text string")
     leaks = {k for k, _ in slow(docs, items)}
-    kept = D.keep_clean(d.drop("row__"), b)
+    kept = D.keep_clean(d, b)
+    assert kept.columns == d.columns and {r["row__"] for r in kept.collect()} == {"own"}
     assert sorted((r.doc_id or -1) for r in kept.collect()) == sorted((i or -1) for i, _ in docs if i not in leaks)
 
 
