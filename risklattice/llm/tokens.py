@@ -15,6 +15,8 @@ _NUMBER = "0-9²³¹¼½¾"
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_LETTER}{_NUMBER}]+")
 _ODD = re.compile(r"[\u0085 İɐ-\U0010ffff]|<\|")
 
+_PROBES = ["Words, and more words: it's 1234 of them.", "  Two  blanks\n\tand lines ", "ÉTÉ naïve Straße", "x=1;y_2 (a+b)*c", "<|a|> \u65e5\u672c İ", ""]
+
 
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The positions start, start + 1, … start + size - 1 of all ranges, one after the other."""
@@ -28,7 +30,8 @@ class WordEncoder:
     Its pieces never span white space, so a text's ids are those of its words in order, and a word's are those of its pieces.
     Words of composed letters below U+0250 are cut here as the tokenizer's own pattern cuts them, and only pieces not yet
     known go to the library. All other words go to it whole. The ids are those of ``encode`` on the whole text
-    (``tests/llm``). At most ``most`` pieces are remembered; beyond, memory is cleared.
+    (``tests/llm``). At most ``most`` pieces are remembered; beyond, memory is cleared. A tokenizer that gives other ids than that
+    on a few probes is called for whole texts.
     """
 
     def __init__(self, path: str, most: int = 600_000):
@@ -42,6 +45,11 @@ class WordEncoder:
             self.ends[i] = token.endswith("</w>")
         self.most = most
         self._forget()
+        # Any other tokenizer gets whole texts.
+        self.pieced = True
+        probe = pa.array(_PROBES)
+        self.pieced = np.array_equal(self.encode(probe)[0], self._whole(probe)[0])
+        self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
@@ -67,8 +75,14 @@ class WordEncoder:
         self.sizes = np.concatenate((self.sizes, sizes))
         self.ids = np.concatenate((self.ids, *lists))
 
+    def _whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lists = [np.array(e.ids, np.uint32) for e in self.full.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *lists]), np.array([len(x) for x in lists], np.int64)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids of each text). Null is the empty text."""
+        if not self.pieced:
+            return self._whole(texts)
         lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         coded = lists.values.dictionary_encode()
         words = coded.dictionary.to_pylist()
