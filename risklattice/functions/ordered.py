@@ -7,6 +7,7 @@ the blocks, so the result is that of the plain window:
 
 ``ordered_prefix``   running totals along the distinct values of a column
 ``running``          running sums along a key ordering
+``row_lag``          values a fixed number of rows earlier, by row number
 ``over_blocks``      bounded frames (lags, rolling, history) with carried rows
 ``exact_quantiles``  exact interpolated quantiles from counts per value bin
 ``sample_rank``      exact seeded samples through a hash threshold
@@ -262,6 +263,19 @@ def running(
     )
 
 
+def row_lag(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, columns: dict[str, str], count: int
+) -> DataFrame:
+    """The rows that have one ``count`` rows earlier in their group, with its values: ``columns`` maps column to output.
+
+    Rows are numbered once per group and meet by number, so work and memory do
+    not grow with ``count``. Rows must be unique per (keys, order), keys not null.
+    """
+    numbered = running(df, keys, order, block, {"_at": F.lit(1)})
+    earlier = numbered.select(*keys, (F.col("_at") + count).alias("_at"), *[F.col(c).alias(out) for c, out in columns.items()])
+    return numbered.join(earlier, [*keys, "_at"]).select(*df.columns, *columns.values())
+
+
 def scatter(key: str | Column, seed: int) -> Column:
     """Seeded hash of any key in [0, 2**32); other seeds give unrelated orders."""
     return F.pmod(F.xxhash64(col(key), F.lit(int(seed))), F.lit(1 << 32))

@@ -11,8 +11,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.timeparts import epoch_seconds, hour_start, minute_number
+from ..functions.timeparts import POSTS_PER_BAND, band, epoch_seconds, hour_start, minute_number
 
 STEPS_PER_BLOCK = 1024
 
@@ -124,19 +125,26 @@ def neighbour_context(
     """Values at position -1 (``_up``) and +1 (``_dn``) at the same instant and direction.
 
     The own value stands in where the neighbour is absent; ``_grad_`` columns
-    hold the difference to it. Rows must be unique per (keys, position).
+    hold the difference to it. Rows must be unique per (keys, position), keys are
+    not null and positions whole. One shuffle by keys and band of posts: a row at
+    the edge of its band also goes to the next one, so a road of any length is cut.
     """
-    out = df
-    for side, shift in (("up", 1), ("dn", -1)):
-        near = df.select(
-            *keys, (F.col(pos) + shift).alias(pos), *[F.col(c).alias(f"_n_{c}") for c in channels]
-        )
-        out = out.join(near, [*keys, pos], "left")
+    home = band(pos, POSTS_PER_BAND)
+    reach = F.array_distinct(F.array_compact(F.array(home, band(F.col(pos) - 1, POSTS_PER_BAND), band(F.col(pos) + 1, POSTS_PER_BAND))))
+    # a null position has no band and no neighbour, but stays
+    dealt = df.withColumn("_home", home).withColumn("_band", F.explode_outer(reach))
+    w = Window.partitionBy(*keys, "_band").orderBy(pos)
+    near = {"up": (F.lag, -1), "dn": (F.lead, 1)}
+    found = {}
+    for side, (step, shift) in near.items():
+        there = step(pos).over(w) == F.col(pos) + shift
+        found |= {f"_{side}_{c}": F.when(there, step(c).over(w)) for c in channels}
+    out = dealt.select("*", *[v.alias(k) for k, v in found.items()]).filter(F.col("_band").eqNullSafe(F.col("_home")))
+    for side in near:
         for c in channels:
-            out = out.withColumn(f"{c}_{side}", F.coalesce(f"_n_{c}", c))
+            out = out.withColumn(f"{c}_{side}", F.coalesce(f"_{side}_{c}", c))
             out = out.withColumn(f"{c}_grad_{side}", F.col(f"{c}_{side}") - F.col(c))
-        out = out.drop(*[f"_n_{c}" for c in channels])
-    return out
+    return out.drop("_home", "_band", *found)
 
 
 def corridor_edges(df: DataFrame, direction: str, ts: str, pos: str, node: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.ordered import ordered_prefix, over_blocks
+from ..functions.ordered import ordered_prefix, row_lag
 from ..functions.timeparts import day_chunk
 
 
@@ -209,10 +209,7 @@ def substitute_channels(
             *[(F.col(f"{c}{hat}") - F.col(c)).alias(f"{c}_diff") for c in channels],
         )
     if mode == "lagged":
-        def shifted(w):
-            return {f"{c}{suffix}": F.lag(c, lag).over(w) for c in channels}
-
-        out = over_blocks(df, loc, [ts], day_chunk(ts, 30), shifted, before=lag, uses=channels)
+        out = row_lag(df, loc, [ts], day_chunk(ts, 30), {c: f"{c}{suffix}" for c in channels}, lag)
         return out.dropna(subset=[f"{c}{suffix}" for c in channels])
     raise ValueError(f"unknown mode {mode}")
 

@@ -15,10 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from ..functions.ordered import exact_quantiles, over_blocks, running
-from ..functions.timeparts import band, day_chunk, epoch_seconds
+from ..functions.timeparts import POSTS_PER_BAND, band, day_chunk, epoch_seconds
 
 BLOCK_DAYS = 7
-POSTS_PER_BAND = 256
 EPS = 1e-3
 
 # Hot posts, rush hours and peak hours of the study corridor.
@@ -342,7 +341,7 @@ def build_features(df: DataFrame, cfg: FeatureConfig, boundary: str) -> DataFram
     if on("regime"):
         free = exact_quantiles(past, [cfg.pos], v, {"v_ff": 0.85})
         out = out.join(free, cfg.pos, "left")
-        median = exact_quantiles(df, [], v, {"m": 0.5}).scalar()
+        median = exact_quantiles(past, [], v, {"m": 0.5}).scalar()
         out = out.withColumn("flow_regime", regime_expr(v, F.coalesce(F.col("v_ff"), median))).drop("v_ff")
         out = occupancy(out, q, v)
     if on("geometry") and cfg.curve:

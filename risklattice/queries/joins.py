@@ -105,14 +105,15 @@ def j09(spark, d):
 
 
 @query("j10_neighbour_context", sql("traffic", """
+    , m as materialized (select pos, dir, t, flow, v from traffic)
     select a.pos, a.dir, a.t, coalesce(u.flow, a.flow) as flow_up,
            coalesce(u.flow, a.flow) - a.flow as flow_grad_up, coalesce(n.flow, a.flow) as flow_dn,
            coalesce(n.flow, a.flow) - a.flow as flow_grad_dn, round(coalesce(u.v, a.v), 6) as v_up,
            round(coalesce(u.v, a.v) - a.v, 6) as v_grad_up, round(coalesce(n.v, a.v), 6) as v_dn,
            round(coalesce(n.v, a.v) - a.v, 6) as v_grad_dn
-    from traffic a
-    left join traffic u on u.dir = a.dir and u.t = a.t and u.pos = a.pos - 1
-    left join traffic n on n.dir = a.dir and n.t = a.t and n.pos = a.pos + 1"""))
+    from m a
+    left join m u on u.dir = a.dir and u.t = a.t and u.pos = a.pos - 1
+    left join m n on n.dir = a.dir and n.t = a.t and n.pos = a.pos + 1"""))
 def j10(spark, d):
     base = V.traffic(spark, d).select("pos", "dir", "t", "flow", "v")
     out = J.neighbour_context(base, ["flow", "v"], ["dir", "t"], "pos")
