@@ -25,6 +25,7 @@ from .aggregate import apply_eb, eb_rate, profile_fit, profile_predict, residual
 from .diagnose import nearest
 from .evaluate import average_precision, confusion, operating_point, pr_curve, prf
 from .filters import epoch_micros, fold_bounds, split_tail_days
+from .newton import fit_newton
 from .projections import issue_risk
 from .windows import run_weights
 
@@ -377,10 +378,10 @@ def fit_profile(
         tuple(loc), tuple(slot), tuple(cols), tuple(volume))
 
 
-def platt(calibration: DataFrame, y: str, score: str, max_iter: int = 1000) -> Scorer:
-    """Logistic recalibration of a score, fitted on a slice of its own."""
-    model = _fit(calibration, [score], [LogisticRegression(featuresCol="_x", labelCol=y, maxIter=max_iter, regParam=0.0)])
-    return model_scorer(model, [score], "calibrated")
+def platt(calibration: DataFrame, y: str, score: str, max_iter: int = 100) -> Scorer:
+    """Logistic recalibration of a score, fitted by Newton steps on a slice of its own."""
+    fit = fit_newton(calibration, [score], y, max_steps=max_iter)
+    return lambda df: fit.score(df, "calibrated")
 
 
 def linear_scorer(coefficients: dict[str, float], intercept: float, out: str = "prob") -> Scorer:

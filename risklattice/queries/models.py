@@ -131,13 +131,6 @@ def m15(spark, d):
     return rounded(out, "v_hat", "flow_hat", "heavy_hat")
 
 
-@query("m16_platt")
-def m16(spark, d):
-    rows = labelled(spark, d)
-    out = M.platt(rows.filter(f"ts < timestamp_ntz'{CUT}'"), "y", "pb")(rows)
-    return rounded(out.select("event_id", "calibrated"), "calibrated")
-
-
 @query("m17_score_window", sql("scores", """
     , s as (select *, 1 / (1 + exp(-(-2 + 1.5 * pa + 2.5 * pb - 0.05 * hour))) as p from scores where ts >= timestamp '2024-01-10' and ts < timestamp '2024-01-20')
     select event_id, round(p, 6) as accident_probability, cast(p >= 0.4 as integer) as accident_pred_binary, y as "ACCIDENT_real", 'forecast' as mode from s"""))

@@ -13,7 +13,7 @@ ORACLES: dict[str, str] = {}
 
 _MODULES = (
     "slice_zero", "sources", "projections", "filters", "joins", "imputation", "aggregates",
-    "windows", "episodes", "evaluation", "reports", "diagnostics", "models", "boosting", "sets", "plans",
+    "windows", "episodes", "evaluation", "reports", "diagnostics", "models", "boosting", "logit", "sets", "plans",
 )
 
 
