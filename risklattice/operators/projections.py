@@ -39,16 +39,16 @@ def calendar_parts(df: DataFrame, ts: str, step: int = 5) -> DataFrame:
     )
 
 
-def slot_to_minute(df: DataFrame, column: str, unit: str = "guess") -> DataFrame:
+def slot_to_minute(df: DataFrame, column: str, unit: str) -> DataFrame:
     """Minutes of a column in ``unit``: twelve slots per hour (``slot``) → minutes; ``minute`` → floor to five.
 
-    ``guess`` takes slots if no value of the whole column exceeds 11.
+    ``guess``, which must be asked for, takes slots if no value of the whole column exceeds 11.
     """
     x = F.try_to_number(F.col(column), F.lit("99999")) if isinstance(df.schema[column].dataType, T.StringType) else F.col(column)
     number = df.withColumn(column, x.cast("double"))
-    slots = {"slot": F.lit(True), "minute": F.lit(False)}.get(unit)
-    if slots is None:
-        slots = number.select(F.max(column)).scalar() <= 11
+    if unit not in ("slot", "minute", "guess"):
+        raise ValueError(f"unknown unit {unit}")
+    slots = F.lit(unit == "slot") if unit != "guess" else number.select(F.max(column)).scalar() <= 11
     minute = F.when(slots, F.col(column) * 5).otherwise(F.floor(F.col(column) / 5) * 5)
     return number.withColumn(column, minute.cast("int"))
 

@@ -28,5 +28,5 @@ from .views import LOC, r6
 def slice_zero(spark, d):
     out = risk_map.rank_by_history(
         V.lattice(spark, d), V.fact(spark, d), LOC, "t", "label",
-        boundary="2024-01-21 00:00:00", m=20.0, by=["dir"])
+        boundary="2024-01-21 00:00:00", m=20.0, by=["dir"], place=["pos"], digits=9)
     return out.select("dir", "n", "pos", r6("ap").alias("ap"), r6("lift").alias("lift"))

@@ -196,3 +196,24 @@ def test_tiers_fall_back(spark):
     out = {r.tier: r for r in evaluate.tiers(evaluate.pr_curve(frame, "y", "s")).collect()}
     assert not out["strict"].attained and out["strict"].threshold == pytest.approx(0.8)
     assert out["advisory"].attained and out["advisory"].precision == pytest.approx(0.5)
+
+
+def test_slot_unit_must_be_named(spark):
+    from risklattice.operators.projections import slot_to_minute
+
+    df = spark.createDataFrame([(0,), (7,), (11,), (None,)], "m int")
+    values = lambda unit: [r.m for r in slot_to_minute(df, "m", unit).collect()]
+    assert values("slot") == values("guess") == [0, 35, 55, None] and values("minute") == [0, 5, 10, None]
+    with pytest.raises(ValueError):
+        slot_to_minute(df, "m", "hour")
+
+
+def test_risk_map_rates_follow_the_place(spark):
+    from risklattice.plans.risk_map import rank_by_history
+
+    rows = [(p, d, f"2024-01-{day:02d} 08:00:00") for p in (1, 2) for d in (0, 1) for day in (1, 8, 15)]
+    lattice = spark.createDataFrame(rows, "pos int, dir int, s string").selectExpr("pos", "dir", "cast(s as timestamp_ntz) as t")
+    fact = lattice.filter("pos = 1 and dir = 0").withColumn("label", F.lit(1))
+    both = rank_by_history(lattice, fact, ["pos", "dir"], "t", "label", "2024-01-15", m=1.0).first()
+    post = rank_by_history(lattice, fact, ["pos", "dir"], "t", "label", "2024-01-15", m=1.0, place=["pos"]).first()
+    assert (both.n, both.ap) == (4, 1.0) and post.ap == 0.5  # by post alone, both directions tie
