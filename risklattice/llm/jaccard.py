@@ -14,7 +14,7 @@ Shingles and sets are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -110,10 +110,10 @@ def incidence(docs: DataFrame, width: int, percent: int, share: int = 16, least:
     return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, n int, set_id long, columns array<long>, n_crowded int")
 
 
-def shared_columns(rows: DataFrame, part_rows: int = 1 << 14) -> DataFrame:
-    """(key, part, set_id, n, pos): entries of ``rows`` (``incidence``) whose column another set shares.
+def shared_columns(rows: DataFrame, percent: int = 80, part_rows: int = 1 << 14) -> DataFrame:
+    """(key, part, set_id, n, pos): entries of ``rows`` (``incidence``) whose column a set of a similar enough size shares.
 
-    A column in very many rows is cut into parts by the upper bits of set_id, of some ``part_rows`` rows if all rows have it,
+    In order of size, the next set on either side is the nearest in size, so these two tell. A column in very many rows is cut into parts by the upper bits of set_id, of some ``part_rows`` rows if all rows have it,
     so no task sorts it whole.
     """
     bits = max(0, (rows.count() // part_rows).bit_length())
@@ -121,8 +121,10 @@ def shared_columns(rows: DataFrame, part_rows: int = 1 << 14) -> DataFrame:
     entries = sets.select("set_id", "n", (F.size("columns") - F.col("n_crowded")).alias("plain"), F.posexplode("columns").alias("pos", "key"))
     crowded = F.col("pos") >= F.col("plain")
     part = F.when(crowded, F.shiftrightunsigned("set_id", 64 - bits)).otherwise(F.lit(0)) if bits else F.lit(0)
-    inside = Window.partitionBy("key", "part").orderBy("set_id")
-    shared = crowded | F.lag("set_id").over(inside).isNotNull() | F.lead("set_id").over(inside).isNotNull()
+    inside = Window.partitionBy("key", "part").orderBy("n", "set_id")
+    smaller, larger = F.lag("n").over(inside), F.lead("n").over(inside)
+    shared = crowded | F.coalesce(100 * smaller.cast("long") >= percent * F.col("n"), F.lit(False))
+    shared |= F.coalesce(100 * F.col("n").cast("long") >= percent * larger, F.lit(False))
     return entries.withColumn("part", part).select("key", "part", "set_id", "n", "pos", shared.alias("shared")).filter("shared").drop("shared")
 
 
@@ -181,12 +183,54 @@ def remaining_pairs(met: DataFrame, percent: int) -> DataFrame:
     return both.select(F.col("set_id1").alias("a"), F.col("set_id2").alias("b")).distinct()
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    """(set_id) of ``pairs`` (a, b), each once."""
+    return pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
+
+
+def likely(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows of ``rows`` whose ``key``, a 64-bit hash, is in ``wanted`` (one column of hashes), and a few others.
+
+    It spares the shuffle before a join what the join would drop. Hashes are marked in a table of at most 2^27 bits (16 MB)
+    that all tasks get; beyond some 10^7 hashes more rows pass. A key passes once a task, so copies don't pile up in the join.
+    """
+    block = 1 << 16
+    size = min(1 << 27, max(block, 1 << (16 * wanted.count()).bit_length()))
+    slot = F.pmod(F.col(wanted.columns[0]), F.lit(size))
+    slots = wanted.select(F.floor(slot / block).cast("int").alias("block"), (slot % block).cast("int").alias("bit")).distinct()
+
+    def pack(part: pa.Table) -> pa.Table:
+        marks = np.zeros(block, bool)
+        marks[part["bit"].to_numpy()] = True
+        return pa.table({"block": part["block"][:1], "bits": pa.array([np.packbits(marks).tobytes()], pa.binary())})
+
+    bits = np.zeros(size // 8, np.uint8)
+    for row in slots.groupBy("block").applyInArrow(pack, "block int, bits binary").toArrow().to_pylist():
+        bits[row["block"] * (block // 8) : (row["block"] + 1) * (block // 8)] = np.frombuffer(row["bits"], np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            keys = batch.column(key).to_numpy(zero_copy_only=False)
+            at = keys.astype(np.int64) & (size - 1)
+            marked = np.flatnonzero((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
+            fresh = []
+            for i, k in zip(marked.tolist(), keys[marked].tolist()):
+                if k not in seen:
+                    seen.add(k)
+                    fresh.append(i)
+            yield batch.take(pa.array(fresh, pa.int64()))
+
+    return rows.filter(F.col(key).isNotNull()).mapInArrow(run, rows.schema)
+
+
 def within_reach(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose first columns, in ``rows`` (``incidence``), share enough for the rest to make up.
 
     What two sets share beyond their first columns lies in the rest of the one whose first columns end earlier.
     """
-    sets = rows.filter("set_id is not null").groupBy("set_id").agg(F.first("n").alias("n"), F.first("columns").alias("columns"))
+    kept = likely(rows.select("set_id", "n", "columns"), "set_id", ends(pairs))
+    sets = materialise(kept.groupBy("set_id").agg(F.first("n").alias("n"), F.first("columns").alias("columns")), "columns")
     one, two = (sets.select(*[F.col(c).alias(f"{c}_{x}") for c in ("set_id", "n", "columns")]) for x in "ab")
     both = pairs.join(two, F.col("b") == F.col("set_id_b")).join(one, F.col("a") == F.col("set_id_a"))
     n, m = F.col("n_a"), F.col("n_b")
@@ -243,6 +287,15 @@ def texts_of(docs: DataFrame, rows: DataFrame, shared: DataFrame) -> DataFrame:
     return found.dropDuplicates(["set_id"]).select("set_id", "text")
 
 
+def texts_at(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(set_id, text) for each set of ``wanted`` (set_id): one of the texts of ``docs`` that have it. Few other texts are shuffled."""
+    chosen = rows.filter("set_id is not null").groupBy("set_id").agg(F.min("text_hash").alias("hash__"))
+    chosen = materialise(chosen.join(wanted.select(F.col("set_id").alias("want__")), F.col("set_id") == F.col("want__"), "left_semi"), "chosen")
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    found = likely(docs.select(F.xxhash64(text).alias("text_hash"), text.alias("text")), "text_hash", chosen.select("hash__"))
+    return found.join(chosen, F.col("text_hash") == F.col("hash__")).dropDuplicates(["set_id"]).select("set_id", "text")
+
+
 def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = 3, **order) -> DataFrame:
     """(doc_id, n_shingles, set_id, component_id) for each row of ``docs`` (doc_id, text); other columns are not carried.
 
@@ -253,21 +306,30 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int
     Repeated rows are kept, an empty table gives an empty one. ``rounds``, and ``order``, which goes to ``incidence``, change no result.
     """
     rows = materialise(incidence(docs, width, percent, **order), "incidence")
-    shared = materialise(shared_columns(rows), "shared")
-    texts = materialise(texts_of(docs, rows, shared), "texts")
-    return with_components(rows, joined_sets(rows, shared, texts, width, percent, rounds=rounds))
+    shared = materialise(shared_columns(rows, percent), "shared")
+    return with_components(rows, joined_sets(rows, shared, lambda sets: texts_at(docs, rows, sets), width, percent, rounds=rounds))
 
 
-def joined_sets(rows: DataFrame, shared: DataFrame, texts: DataFrame, width: int, percent: int, links: DataFrame | None = None, rounds: int = 3) -> DataFrame:
+def joined_sets(rows: DataFrame, shared: DataFrame, texts: DataFrame | Callable[[DataFrame], DataFrame], width: int, percent: int, links: DataFrame | None = None, rounds: int = 3) -> DataFrame:
     """(node, component) of the sets of ``rows`` that links join, from their shared columns and texts, and ``links`` known already.
 
-    A few rounds of neighbours join most of what is linked; then all pairs that are still apart are looked at.
+    ``texts`` is (set_id, text), or gives it for wanted sets (set_id). A few rounds of neighbours join most of what is linked;
+    then all pairs that are still apart are looked at. Rounds end early once fewer than a tenth of their pairs are links. A
+    pair is looked at once.
     """
     reached = components(links) if links is not None else None
-    for turn in range(rounds + 1):
+    tried, turn = None, 0
+    while turn <= rounds:
         shared = apart(shared, reached)
-        pairs = neighbour_pairs(shared, percent, turn) if turn < rounds else within_reach(remaining_pairs(shared, percent), rows, percent)
-        found = similar_pairs(pairs, texts, width, percent)
+        pairs = neighbour_pairs(shared, percent, turn) if turn < rounds else remaining_pairs(shared, percent)
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = materialise(pairs, "pairs")
+        tried = pairs if tried is None else tried.union(pairs)
+        near = pairs if turn < rounds else materialise(within_reach(pairs, rows, percent), "within_reach")
+        found = materialise(similar_pairs(near, materialise(texts(ends(near)), "texts") if callable(texts) else texts, width, percent), "found")
+        turn = rounds if turn < rounds and 10 * found.count() < pairs.count() else turn + 1
         if reached is not None:
             found = found.union(reached.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
         reached = components(found)
