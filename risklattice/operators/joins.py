@@ -25,21 +25,23 @@ def build_lattice(
 
     Each segment is first expanded to blocks of instants, which are spread over
     all tasks before they are expanded to single instants: a network of few
-    segments with a long record still runs in parallel.
+    segments with a long record still runs in parallel. Blocks meet their
+    instants in a join, as Spark takes an exploded table to be no larger than
+    the one before and would broadcast the whole lattice in later joins.
     """
     first, last = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
     span = epoch_seconds(last) - epoch_seconds(first)
     steps = F.ceil(span / F.lit(step_minutes * 60)).cast("long")
     blocks = F.ceil(steps / F.lit(STEPS_PER_BLOCK)).cast("long")
-    tasks = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    low = F.col("_b") * STEPS_PER_BLOCK
-    high = F.least(low + STEPS_PER_BLOCK, steps) - 1
-    minutes = F.col("_i") * step_minutes
+    spark = segments.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at = F.col("_b") * STEPS_PER_BLOCK + F.col("_i")
     return (
         segments.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
         .repartition(tasks, *segments.columns, "_b")
-        .withColumn("_i", F.explode(F.sequence(low, high)))
-        .select(*segments.columns, (first + F.make_dt_interval(mins=minutes.cast("int"))).alias(ts))
+        .crossJoin(spark.range(STEPS_PER_BLOCK).withColumnRenamed("id", "_i"))
+        .filter(at < steps)
+        .select(*segments.columns, (first + F.make_dt_interval(mins=(at * step_minutes).cast("int"))).alias(ts))
     )
 
 

@@ -87,8 +87,9 @@ def traffic(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hourly_weather(spark: SparkSession, d: str) -> DataFrame:
+    """Weather by hour: a row per instant of the fixed range, however many locations there are, so joins broadcast it."""
     hours = lattice(spark, d).select("t").distinct().withColumn("i", hour_index())
-    return hours.select(
+    return F.broadcast(hours).select(
         "t",
         F.expr("cast(i % 17 as double) / 10").alias("precip"),
         F.expr("10 + cast(i % 24 as double) / 2 - cast(i % 53 as double) / 3").alias("temp"),
