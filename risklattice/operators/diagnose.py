@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.ordered import exact_quantiles, mix, ordered_prefix, running, sample_rank, scatter
+from ..session import materialise
 from .aggregate import to_long
 from .evaluate import average_precision
 
@@ -123,6 +125,56 @@ def standardise_vectors(df: DataFrame, vec: str) -> DataFrame:
         vec, F.zip_with(vec, "_st", lambda x, p: (x - p["m"]) / p["s"])).drop("_st")
 
 
+def _tree(sample: np.ndarray, leaves: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Halves of ``sample`` along its widest column, up to ``leaves``: column, split, children and leaf number of each node."""
+    column, split, child, leaf, size = [0], [0.0], [[0, 0]], [-1], max(1, -(-len(sample) // leaves))
+    todo, found = [(0, np.arange(len(sample)))], 0
+    while todo:
+        node, rows = todo.pop()
+        spread = np.ptp(sample[rows], axis=0) if len(rows) else np.zeros(1)
+        widest = int(spread.argmax())
+        if len(rows) <= size or spread[widest] <= 0:
+            leaf[node], found = found, found + 1
+            continue
+        x = sample[rows, widest]
+        at = np.median(x)
+        at = at if at < x.max() else x[x < x.max()].max()
+        column[node], split[node], child[node] = widest, at, [len(leaf), len(leaf) + 1]
+        for half in (rows[x <= at], rows[x > at]):
+            todo.append((len(leaf), half))
+            column, split, child, leaf = [*column, 0], [*split, 0.0], [*child, [0, 0]], [*leaf, -1]
+    return np.array(column), np.array(split), np.array(child), np.array(leaf)
+
+
+def _closest(x: np.ndarray, me: np.ndarray, bound: np.ndarray, pv: np.ndarray, ids: np.ndarray, k: int, skip_self: bool):
+    """(row, neighbour, distance) of the ``k`` points nearest to each row within ``bound``; ties go to the smaller neighbour.
+
+    Products rule most pairs out, with room for their rounding; the rest are measured by their differences.
+    """
+    squares = (pv**2).sum(axis=1)
+    parts = []
+    step = max(1, 4_000_000 // len(pv))
+    for i in range(0, len(x), step):
+        part = x[i : i + step]
+        own = (part**2).sum(axis=1)
+        room = 1e-9 * (own + squares.max())
+        near = own[:, None] + squares[None] - 2 * (part @ pv.T)
+        if skip_self:
+            near[me[i : i + step, None] == ids[None, :]] = np.inf
+        limit = bound[i : i + step] ** 2
+        if len(pv) > k and (near <= (limit + room)[:, None]).sum() > 32 * k * len(part):
+            limit = np.minimum(limit, np.partition(near, k - 1, axis=1)[:, k - 1] + room)
+        rows, cols = np.nonzero(near <= (limit + room)[:, None])
+        finite = np.isfinite(near[rows, cols])
+        rows, cols = rows[finite], cols[finite]
+        dist = np.sqrt(((part[rows] - pv[cols]) ** 2).sum(axis=1))
+        order = np.lexsort((ids[cols], dist, rows))
+        rows, cols, dist = rows[order], cols[order], dist[order]
+        kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+        parts.append((rows[kept] + i, ids[cols[kept]], dist[kept]))
+    return tuple(np.concatenate(c) for c in zip(*parts))
+
+
 def nearest(
     queries: DataFrame,
     points: DataFrame,
@@ -136,87 +188,147 @@ def nearest(
 ) -> DataFrame:
     """Exact ``k`` nearest points of every query: (key, neighbour, distance, rank).
 
-    Points are grouped by their nearest of a few pivots. The distances of a
-    query to the pivots bound its distance to each group from both sides, so it
-    visits only groups that can hold one of its neighbours, and each visit
-    returns at most ``k`` rows. Large groups and large sets of queries are cut
-    into blocks of bounded size. Two small jobs draw the pivots and count the
-    groups; ties go to the smaller neighbour key.
+    A tree over a seeded sample (``pivots`` rows a cell) cuts space into cells,
+    more of them for more points, and smaller ones in few dimensions. A query
+    first meets the points of its own cell; their distances bound which other
+    cells, by the box around their points, can hold a nearer one, and it visits
+    only those. Of equal points only those with the smallest keys can be among
+    the nearest, so copies cost nothing. Large cells and large sets of queries
+    are cut into blocks of bounded size. The sample, the boxes and counts per
+    cell reach the driver. Ties go to the smaller neighbour key; vectors with
+    null, NaN or infinite entries have no neighbours and are none.
     """
     spark = points.sparkSession
-    drawn = sample_rank(points.withColumn("_h", mix(key, seed)), "_h", key, F.lit(pivots)).select(vec).collect()
-    if not drawn:
-        return spark.createDataFrame([], f"{key} long, neighbour long, distance double, rank int")
-    centres = np.array([r[0] for r in drawn], dtype=float)
+    finite = F.forall(vec, lambda x: F.abs(x) < float("inf"))
     need = k + (1 if skip_self else 0)
+    copies = Window.partitionBy(vec).orderBy(key)
+    points = points.filter(finite).select(key, vec).withColumn("_copy", F.dense_rank().over(copies))
+    points = materialise(points.filter(F.col("_copy") <= need).drop("_copy"), "points")
+    queries = queries.filter(finite).select(key, vec)
+    n, dims = points.agg(F.count(F.lit(1)), F.max(F.size(vec))).first()
+    if not n:
+        return spark.createDataFrame([], f"{key} long, neighbour long, distance double, rank int")
+    size = rows_per_block if dims > 8 else min(rows_per_block, max(500, int(2 * math.sqrt(n))))
+    leaves = -(-n // size)
+    drawn = sample_rank(points.withColumn("_h", mix(key, seed)), "_h", key, F.lit(leaves * pivots)).select(vec) if leaves > 1 else points.limit(1).select(vec)
+    column, split, child, leaf = _tree(np.array([r[0] for r in drawn.collect()], float).reshape(-1, dims), leaves)
 
-    def to_pivots(column: pd.Series) -> np.ndarray:
-        x = np.stack(column.to_numpy()).astype(float)
-        return np.sqrt(np.maximum(((x[:, None, :] - centres[None]) ** 2).sum(axis=2), 0))
+    def cell_of(x: np.ndarray) -> np.ndarray:
+        at, rows = np.zeros(len(x), int), np.arange(len(x))
+        while (leaf[at] < 0).any():
+            at = np.where(leaf[at] < 0, child[at, (x[rows, column[at]] > split[at]).astype(int)], at)
+        return leaf[at]
 
     def place(frames):
         for pdf in frames:
             if len(pdf):
-                for i in range(0, len(pdf), 2048):
-                    part = pdf.iloc[i : i + 2048]
-                    dist = to_pivots(part[vec])
-                    cell = dist.argmin(axis=1)
-                    yield pd.DataFrame({key: part[key], vec: part[vec], "_cell": cell, "_d": dist[np.arange(len(part)), cell]})
-
-    placed = points.select(key, vec).mapInPandas(place, f"{key} long, {vec} array<double>, _cell int, _d double")
-    groups = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.min("_d").alias("lo"), F.max("_d").alias("hi")).toPandas()
+                yield pdf.assign(_cell=cell_of(np.stack(pdf[vec].to_numpy()).astype(float)).astype("int32"))
+
+    kinds = f"{key} long, {vec} array<double>"
+    placed = points.mapInPandas(place, f"{kinds}, _cell int")
+    ends = [f(F.get(vec, F.lit(i))).alias(f"{name}{i}") for name, f in (("lo", F.min), ("hi", F.max)) for i in range(dims)]
+    groups = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), *ends).toPandas()
     cells, count = groups["_cell"].to_numpy(), groups["n"].to_numpy()
-    low, high = groups["lo"].to_numpy(), groups["hi"].to_numpy()
-    blocks = np.maximum(1, np.ceil(count / rows_per_block).astype(int))
-    block_of = dict(zip(cells.tolist(), blocks.tolist()))
-    query_blocks = max(1, -(-queries.count() // rows_per_block))
+    low, high = (groups[[f"{name}{i}" for i in range(dims)]].to_numpy(float) for name in ("lo", "hi"))
+    blocks = np.ones(int(leaf.max()) + 1, int)
+    blocks[cells] = -(-count // rows_per_block)
+
+    def shared_out(counted: DataFrame) -> np.ndarray:
+        """How many blocks the queries of each cell are cut into."""
+        tasks = np.ones(len(blocks), int)
+        for cell, rows in counted.groupBy("_cell").agg(F.count(F.lit(1))).collect():
+            tasks[cell] = -(-rows // (rows_per_block * int(blocks[cell])))
+        return tasks
+
+    def dealt(keys: pd.Series, salt: str) -> np.ndarray:
+        return pd.util.hash_array(keys.to_numpy(), hash_key=salt.ljust(16)).astype(np.uint64) >> np.uint64(1)
+
+    def stored(tasks: np.ndarray) -> DataFrame:
+        def run(frames):
+            for pdf in place(frames):
+                pdf["_b"] = (dealt(pdf[key], "points") % blocks[pdf["_cell"]].astype(np.uint64)).astype("int32")
+                times = tasks[pdf["_cell"]]
+                out = pdf.loc[pdf.index.repeat(times)]
+                out["_t"] = np.concatenate([np.arange(t) for t in times]).astype("int32")
+                yield out
+
+        return points.mapInPandas(run, f"{kinds}, _cell int, _b int, _t int")
+
+    def first_calls(tasks: np.ndarray) -> DataFrame:
+        def run(frames):
+            for pdf in place(frames):
+                pdf["_b"] = (dealt(pdf[key], "queries") % blocks[pdf["_cell"]].astype(np.uint64)).astype("int32")
+                pdf["_t"] = (dealt(pdf[key], "tasks") % tasks[pdf["_cell"]].astype(np.uint64)).astype("int32")
+                yield pdf
+
+        return queries.mapInPandas(run, f"{kinds}, _cell int, _b int, _t int")
+
+    def first_search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = left[[key, vec, "_cell", "_b"]].reset_index(drop=True)
+        ids, dist, bound = [[] for _ in range(len(out))], [[] for _ in range(len(out))], np.full(len(out), np.inf)
+        if len(left) and len(right):
+            found = _closest(np.stack(left[vec].to_numpy()).astype(float), left[key].to_numpy(), bound,
+                             np.stack(right[vec].to_numpy()).astype(float), right[key].to_numpy(), k, skip_self)
+            for row, i, d in zip(*(c.tolist() for c in found)):
+                ids[row].append(i)
+                dist[row].append(d)
+            bound = np.array([d[-1] if len(d) == k else np.inf for d in dist])
+        return out.assign(_bound=bound, _ids=pd.Series(ids, dtype=object), _dist=pd.Series(dist, dtype=object))
 
     def visit(frames):
         for pdf in frames:
-            for i in range(0, len(pdf), 2048):
-                part = pdf.iloc[i : i + 2048]
-                dist = to_pivots(part[vec])[:, cells]
-                order = np.argsort(dist + high, axis=1)
-                filled = np.cumsum(count[order], axis=1) >= need
-                at = np.where(filled.any(axis=1), filled.argmax(axis=1), len(cells) - 1)
-                bound = np.take_along_axis(dist + high, order, axis=1)[np.arange(len(part)), at]
-                least = np.maximum(np.maximum(dist - high, low - dist), 0)
-                rows, cols = np.nonzero(least <= bound[:, None] * (1 + 1e-9) + 1e-12)
-                for c in np.unique(cols):
-                    hit = part.iloc[rows[cols == c]]
-                    for b in range(blocks[c]):
-                        yield pd.DataFrame({key: hit[key], vec: hit[vec], "_cell": int(cells[c]), "_b": b,
-                                            "_q": (hit[key] % query_blocks).astype("int32")})
-
-    wanted = queries.select(key, vec).mapInPandas(visit, f"{key} long, {vec} array<double>, _cell int, _b int, _q int")
-    sizes = F.element_at(F.create_map(*[F.lit(x) for kv in block_of.items() for x in kv]), F.col("_cell"))
-    stored = placed.select(
-        F.col(key).alias("_p"), F.col(vec).alias("_pv"), "_cell", F.pmod(F.xxhash64(key), sizes).cast("int").alias("_b"),
-        F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("_q"),
-    )
+            step = max(1, 1_000_000 // len(cells))
+            for i in range(0, len(pdf), step):
+                part = pdf.iloc[i : i + step]
+                x = np.stack(part[vec].to_numpy()).astype(float)
+                least, most = np.zeros((len(part), len(cells))), np.zeros((len(part), len(cells)))
+                bound = part["_bound"].to_numpy(float, copy=True)
+                short = np.isinf(bound)
+                for j in range(dims):
+                    under, over = low[None, :, j] - x[:, j, None], x[:, j, None] - high[None, :, j]
+                    least += np.maximum(np.maximum(under, over), 0) ** 2
+                    if short.any():
+                        most += np.maximum(-under, -over) ** 2
+                if short.any():
+                    order = np.argsort(most[short], axis=1)
+                    filled = np.cumsum(count[order], axis=1) >= need
+                    at = np.where(filled.any(axis=1), filled.argmax(axis=1), len(cells) - 1)
+                    far = np.sqrt(np.take_along_axis(most[short], order, axis=1)[np.arange(short.sum()), at])
+                    bound[short] = np.where(filled.any(axis=1), far * (1 + 1e-9) + 1e-12, np.inf)
+                rows, cols = np.nonzero(np.sqrt(least) <= bound[:, None] * (1 + 1e-9) + 1e-12)
+                times = blocks[cells[cols]]
+                rows, cols = np.repeat(rows, times), np.repeat(cols, times)
+                b = np.concatenate([np.arange(t) for t in times]) if len(times) else np.zeros(0, int)
+                new = (cells[cols] != part["_cell"].to_numpy()[rows]) | (b != part["_b"].to_numpy()[rows])
+                hit = part[[key, vec]].iloc[rows[new]]
+                yield hit.assign(_bound=bound[rows[new]], _cell=cells[cols[new]].astype("int32"), _b=b[new].astype("int32"))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        columns = [key, "neighbour", "distance"]
         if not len(left) or not len(right):
-            return pd.DataFrame({c: [] for c in columns})
-        pv, ids = np.stack(right["_pv"].to_numpy()).astype(float), right["_p"].to_numpy()
-        out = []
-        for i in range(0, len(left), 512):
-            part = left.iloc[i : i + 512]
-            x, me = np.stack(part[vec].to_numpy()).astype(float), part[key].to_numpy()
-            dist = np.empty((len(part), len(pv)))
-            for j in range(0, len(pv), 512):
-                dist[:, j : j + 512] = np.sqrt(((x[:, None, :] - pv[None, j : j + 512]) ** 2).sum(axis=2))
-            if skip_self:
-                dist[me[:, None] == ids[None, :]] = np.inf
-            top = np.lexsort((np.broadcast_to(ids, dist.shape), dist), axis=1)[:, :k]
-            best = np.take_along_axis(dist, top, axis=1)
-            out.append(pd.DataFrame({key: np.repeat(me, top.shape[1]), "neighbour": ids[top].ravel(), "distance": best.ravel()}))
-        found = pd.concat(out)
-        return found[np.isfinite(found["distance"])]
-
-    near = wanted.groupBy("_cell", "_b", "_q").cogroup(stored.groupBy("_cell", "_b", "_q")).applyInPandas(
-        search, f"{key} long, neighbour long, distance double")
+            return pd.DataFrame({c: [] for c in (key, "neighbour", "distance")})
+        me = left[key].to_numpy()
+        rows, ids, dist = _closest(np.stack(left[vec].to_numpy()).astype(float), me, left["_bound"].to_numpy(),
+                                   np.stack(right[vec].to_numpy()).astype(float), right[key].to_numpy(), k, skip_self)
+        return pd.DataFrame({key: me[rows], "neighbour": ids, "distance": dist})
+
+    by = ["_cell", "_b", "_t"]
+    tasks = shared_out(queries.mapInPandas(place, f"{kinds}, _cell int"))
+    own = first_calls(tasks).groupBy(*by).cogroup(stored(tasks).groupBy(*by)).applyInPandas(
+        first_search, f"{kinds}, _cell int, _b int, _bound double, _ids array<long>, _dist array<double>")
+    own = materialise(own, "own_cell")
+    near = own.select(key, F.explode(F.arrays_zip(F.col("_ids").alias("i"), F.col("_dist").alias("d"))).alias("_n"))
+    near = near.select(key, F.col("_n.i").alias("neighbour"), F.col("_n.d").alias("distance"))
+    if len(cells) > 1 or blocks.max() > 1:
+        visits = materialise(own.mapInPandas(visit, f"{kinds}, _bound double, _cell int, _b int"), "visits")
+        tasks = shared_out(visits)
+
+        def deal(frames):
+            for pdf in frames:
+                yield pdf.assign(_t=(dealt(pdf[key], "tasks") % tasks[pdf["_cell"]].astype(np.uint64)).astype("int32"))
+
+        others = visits.mapInPandas(deal, f"{kinds}, _bound double, _cell int, _b int, _t int")
+        found = others.groupBy(*by).cogroup(stored(tasks).groupBy(*by)).applyInPandas(search, f"{key} long, neighbour long, distance double")
+        near = near.unionByName(found)
     order = Window.partitionBy(key).orderBy("distance", "neighbour")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
