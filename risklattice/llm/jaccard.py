@@ -183,6 +183,16 @@ def remaining_pairs(met: DataFrame, percent: int) -> DataFrame:
     return both.select(F.col("set_id1").alias("a"), F.col("set_id2").alias("b")).distinct()
 
 
+def delegates(met: DataFrame, salt: int = 0, most: int = 32) -> DataFrame:
+    """Rows of ``met``: of each component, under each column, the ``most`` sets that are first in an order (one for all columns).
+
+    A set that neighbours have not joined to a large group is near some share of its sets, so a few of them join most such
+    sets, and ``remaining_pairs`` need not pair each of them with the whole group.
+    """
+    order = Window.partitionBy("key", "comp").orderBy(F.xxhash64("set_id", F.lit(salt)), "set_id")
+    return met.withColumn("rank__", F.row_number().over(order)).filter(F.col("rank__") <= most).drop("rank__")
+
+
 def ends(pairs: DataFrame) -> DataFrame:
     """(set_id) of ``pairs`` (a, b), each once."""
     return pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
@@ -313,23 +323,24 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int
 def joined_sets(rows: DataFrame, shared: DataFrame, texts: DataFrame | Callable[[DataFrame], DataFrame], width: int, percent: int, links: DataFrame | None = None, rounds: int = 3) -> DataFrame:
     """(node, component) of the sets of ``rows`` that links join, from their shared columns and texts, and ``links`` known already.
 
-    ``texts`` is (set_id, text), or gives it for wanted sets (set_id). A few rounds of neighbours join most of what is linked;
-    then all pairs that are still apart are looked at. Rounds end early once fewer than a tenth of their pairs are links. A
-    pair is looked at once.
+    ``texts`` is (set_id, text), or gives it for wanted sets (set_id). A few rounds of neighbours join most of what is linked,
+    and the last of several rounds a few sets of each component; then all pairs that are still apart are looked at. Rounds of
+    neighbours end early once fewer than a tenth of their pairs are links. A pair is looked at once.
     """
     reached = components(links) if links is not None else None
-    tried, turn = None, 0
+    tried, turn, few = None, 0, max(1, rounds - 1)  # rounds of neighbours, if any
     while turn <= rounds:
-        shared = apart(shared, reached)
-        pairs = neighbour_pairs(shared, percent, turn) if turn < rounds else remaining_pairs(shared, percent)
+        shared, near_by = apart(shared, reached), turn < min(few, rounds)
+        met = delegates(shared) if turn < rounds else shared
+        pairs = neighbour_pairs(shared, percent, turn) if near_by else remaining_pairs(met, percent)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
         tried = pairs if tried is None else tried.union(pairs)
-        near = pairs if turn < rounds else materialise(within_reach(pairs, rows, percent), "within_reach")
+        near = pairs if near_by else materialise(within_reach(pairs, rows, percent), "within_reach")
         found = materialise(similar_pairs(near, materialise(texts(ends(near)), "texts") if callable(texts) else texts, width, percent), "found")
-        turn = rounds if turn < rounds and 10 * found.count() < pairs.count() else turn + 1
+        turn = few if near_by and 10 * found.count() < pairs.count() else turn + 1
         if reached is not None:
             found = found.union(reached.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
         reached = components(found)

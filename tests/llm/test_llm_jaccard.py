@@ -106,6 +106,21 @@ def test_group_of_near_copies_makes_few_pairs(spark):
     assert {r.component_id for r in jaccard.jaccard_join(docs).collect()} == {0}
 
 
+def test_outsiders_of_a_group_meet_few_of_it(spark):
+    """500 sets of one component and 20 others under one column: the round before the last makes 32 pairs for each of these."""
+    met = spark.createDataFrame([(1, 0, i, 100, 0, 0 if i < 500 else i) for i in range(520)], "key long, part long, set_id long, n int, pos int, comp long")
+    assert jaccard.remaining_pairs(met, 80).count() == 20 * 500 + 190
+    assert jaccard.remaining_pairs(jaccard.delegates(met), 80).count() == 20 * 32 + 190
+
+
+def test_group_with_outsiders_equals_all_pairs(spark):
+    """A group of near copies, and sets near a tenth of them."""
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(300)]
+    rows = list(enumerate(copies(rng, base, 160, 3) + copies(rng, base, 60, 4)))
+    assert ordered(joined(spark, rows)) == ordered(slow(rows))
+
+
 def test_empty_table_and_long_text(spark):
     docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(150_000))), (2, " ".join(f"w{i}" for i in range(125_000)))], "doc_id long, text string")
     assert ordered(jaccard.jaccard_join(docs, rounds=0).select("doc_id", "n_shingles", "component_id").collect()) == [(1, 149_996, 1), (2, 124_996, 1)]
