@@ -9,6 +9,7 @@ the blocks, so the result is that of the plain window:
 ``running``          running sums along a key ordering
 ``row_lag``          values a fixed number of rows earlier, by row number
 ``over_blocks``      bounded frames (lags, rolling, history) with carried rows
+``dealt``            rows dealt by keys to many small tasks
 ``exact_quantiles``  exact interpolated quantiles from counts per value bin
 ``sample_rank``      exact seeded samples through a hash threshold
 """
@@ -40,6 +41,18 @@ def minute_bin(micros: str | Column) -> Column:
     return F.floor(col(micros) / F.lit(60_000_000)).cast("long")
 
 
+def dealt(df: DataFrame, keys: Sequence[str], per_core: int = 8) -> DataFrame:
+    """``df`` dealt by ``keys`` to so many tasks that sorts of one of them stay small.
+
+    Spark joins small shuffled partitions until few more than the cores are left, by their compressed size. Rows of a
+    regular grid compress to a few bytes and take a hundred in a sort, so a task's memory would be that of a core's share
+    of the table. A number given by the caller stays. Windows, groups and joins by the same keys need no other shuffle.
+    """
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), per_core * spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *keys)
+
+
 def _join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     return left.join(right, list(keys))
 
@@ -192,7 +205,7 @@ def with_overlap(
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out
+    return dealt(out, [*keys, "_block"])
 
 
 def over_blocks(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.ordered import exact_quantiles, mix, sample_rank
+from ..functions.ordered import dealt, exact_quantiles, mix, sample_rank
 from ..functions.timeparts import day_chunk, epoch_seconds
 
 EPSILON = 1e-6
@@ -36,7 +36,7 @@ def interpolate(
     # looking ahead is looking back along the reversed order: frames that end at
     # the current row grow row by row, frames that start there are rebuilt each time
     ahead = Window.partitionBy(*loc, "_block").orderBy(F.col(ts).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    placed = df.withColumn("_block", block).withColumn("_at", F.row_number().over(inside).cast("long"))
+    placed = dealt(df.withColumn("_block", block), [*loc, "_block"]).withColumn("_at", F.row_number().over(inside).cast("long"))
 
     def known(c: str) -> Column:
         return F.when(F.col(c).isNotNull(), F.struct(F.col("_at").alias("at"), F.col(c).cast("double").alias("v")))

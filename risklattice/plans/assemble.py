@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordered import dealt
 from ..operators import impute, joins, projections, sets
 
 
@@ -68,7 +69,7 @@ def assemble(
     both measures are interpolated in one pass per location.
     """
     keys = [*loc, ts]
-    cells = joins.attach_measure(lattice, speed, keys, [F.avg("speed").alias("speed")])
+    cells = joins.attach_measure(dealt(lattice, keys), speed, keys, [F.avg("speed").alias("speed")])
     cells = joins.attach_measure(cells, flow, keys, [F.max(c).alias(c) for c in flow_cols])
     cells = impute.flag_missing(cells, ["speed"], "speed_imputation")
     cells = impute.flag_missing(cells, flow_cols, "flow_imputation")

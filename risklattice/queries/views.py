@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ordered import dealt
 from ..functions.timeparts import hour_start
 from ..operators import joins
 
@@ -63,7 +64,7 @@ def hour_index(ts: str = "t") -> Column:
 def cells(spark: SparkSession, d: str) -> DataFrame:
     """Lattice with measures: flow and label 0 where nothing was seen, speed null."""
     joined = joins.attach_labels(
-        lattice(spark, d), fact(spark, d), [*LOC, "t"], ["label", "flow", "heavy"]
+        dealt(lattice(spark, d), [*LOC, "t"]), fact(spark, d), [*LOC, "t"], ["label", "flow", "heavy"]
     )
     return joined.select(
         "pos",

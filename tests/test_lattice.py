@@ -1,8 +1,10 @@
-"""The lattice's size estimate: later joins must not broadcast it."""
+"""The lattice's size estimate and its tasks: later joins must not broadcast it, and sorts must see small parts of it."""
 
 from pyspark.sql import functions as F
 
+from risklattice.operators import impute, windows
 from risklattice.operators.joins import build_lattice
+from risklattice.queries import views
 
 
 def test_lattice_is_whole(spark):
@@ -23,3 +25,16 @@ def test_lattice_is_not_broadcast(spark):
         assert "BroadcastHashJoin" not in rows._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_sorts_see_small_parts(spark, tmp_path):
+    """The grid compresses well, but joined, windowed and interpolated rows stay in many tasks."""
+    events = spark.range(4000).selectExpr(
+        "id as event_id", "timestamp_ntz'2024-01-03 05:00:00' as ts", "id % 40 as user_id", "'view' as event_type", "cast(id as double) as value")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    cells = views.cells(spark, str(tmp_path))
+    lagged = windows.lags(cells, ["dir", "pos"], "t", "flow")
+    filled = impute.interpolate(cells.select("pos", "dir", "t", "speed"), ["dir", "pos"], "t", ["speed"])
+    for df in (lagged, filled):
+        sizes = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+        assert sum(sizes) == 40 * 720 and len(sizes) > 2 * spark.sparkContext.defaultParallelism
