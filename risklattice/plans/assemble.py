@@ -39,6 +39,8 @@ def propagate_detectors(
     det = joins.attach_sensor_speed(det, speed.withColumnRenamed("speed", "_vs"), keys, x, pos)
     stats = impute.section_stats(det, [section, x, *road], ts, flow, "_vs", n_ts, seed)
     decay = impute.calibrate_decay(stats, [section, *road])
+    # at one place and sensor speed the largest flow stays the largest at every post, so the others need not be spread
+    det = sets.dedup_prefer(det, [*keys, section, lo, hi, x, "_vs"], [flow], [])
     spread = joins.expand_section(impute.attach_decay(det, decay, [section, *road]), lo, hi, pos)
     spread = spread.withColumn("_dist", F.abs(F.col(pos) - F.col(x)))
     if speed_at == "target":
