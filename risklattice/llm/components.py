@@ -23,24 +23,28 @@ def _star(both: DataFrame, small: bool) -> DataFrame:
     return links.filter("a <> b").distinct()
 
 
+def _settled(links: DataFrame) -> bool:
+    """Whether ``links`` (a, b), b the smaller, are stars: no a has two of them, and none is the b of another."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up")).union(links.select("b", F.lit(0)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("n")).filter("up > 1 or up = 1 and n > 1").isEmpty()
+
+
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for each node of ``links`` (a, b): component is the smallest node that can be reached.
 
-    Large-star and small-star steps take turns until the links stop changing. They number in the order of the logarithm of
-    the longest path. A hub is a star already: its rows meet one row of minima, and Spark may split that join. Each round
+    Large-star and small-star steps take turns until the links are stars, which one grouping tells. They number in the order
+    of the logarithm of the longest path; links that are stars already take none. A hub is a star already: its rows meet one row of minima, and Spark may split that join. Each round
     is written to the shared folder, so lost executors cost no more than their tasks. Links with a null end, and loops, are
     ignored; an empty table gives an empty one.
     """
     links = materialise(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    state = None
-    for _ in range(max_rounds):
-        both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a"))
-        large = _star(both, False).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        small = _star(large.select(F.col("a").alias("node"), F.col("b").alias("other")), True)
-        links = materialise(small, "links")
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
+    for turn in range(max_rounds + 1):
+        if _settled(links):
             return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
                 links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        state = now
+        if turn < max_rounds:
+            both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a"))
+            large = _star(both, False).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+            small = _star(large.select(F.col("a").alias("node"), F.col("b").alias("other")), True)
+            links = materialise(small, "links")
     raise RuntimeError(f"components did not settle within {max_rounds} rounds")
