@@ -9,7 +9,7 @@ the blocks, so the result is that of the plain window:
 ``running``          running sums along a key ordering
 ``row_lag``          values a fixed number of rows earlier, by row number
 ``over_blocks``      bounded frames (lags, rolling, history) with carried rows
-``dealt``            rows dealt by keys to many small tasks
+``dealt``            rows dealt by keys to many small tasks, of a grid to as many as its rows need
 ``dealt_by_rows``    rows dealt by keys to tasks of a bounded number of rows
 ``exact_quantiles``  exact interpolated quantiles from counts per value bin
 ``sample_rank``      exact seeded samples through a hash threshold
@@ -42,16 +42,25 @@ def minute_bin(micros: str | Column) -> Column:
     return F.floor(col(micros) / F.lit(60_000_000)).cast("long")
 
 
-def dealt(df: DataFrame, keys: Sequence[str], per_core: int = 8) -> DataFrame:
+GRID_ROWS = "grid_rows"  # in the metadata of a grid's instants: its number of rows, which selects, joins and stored copies keep
+
+
+def grid_rows(df: DataFrame) -> int:
+    """The number of rows of the grid whose instants ``df`` has, 0 where they are of no grid."""
+    return max((int(f.metadata.get(GRID_ROWS, 0)) for f in df.schema.fields), default=0)
+
+
+def dealt(df: DataFrame, keys: Sequence[str], per_core: int = 8, part_rows: int = 3 << 17) -> DataFrame:
     """``df`` dealt by ``keys`` to so many tasks that sorts of one of them stay small.
 
     Spark joins small shuffled partitions until few more than the cores are left, by their compressed size. Rows of a
     regular grid compress to a few bytes and take a hundred in a sort, so a task's memory would be that of a core's share
     of the table. A number given by the caller stays. Windows, groups and joins by the same keys need no other shuffle.
+    A grid tells its rows, and a task gets some ``part_rows`` of them at most, however few the cores are.
     """
     spark = df.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), per_core * spark.sparkContext.defaultParallelism)
-    return df.repartition(tasks, *keys)
+    return df.repartition(max(tasks, -(-grid_rows(df) // part_rows)), *keys)
 
 
 def dealt_by_rows(df: DataFrame, keys: Sequence[str], part_rows: int = 1 << 18) -> DataFrame:
@@ -197,8 +206,11 @@ def with_overlap(
         toward = [F.col(o).desc() if ahead else F.col(o).asc() for o in order]
         edge = Window.partitionBy(*keys, "_block").orderBy(*toward)
         slim = base.select(*keys, "_block", *names)
+        if grid_rows(df):  # its rows lie scattered, so a limit ahead of the shuffle would sort them for little
+            slim = dealt(slim, [*keys, "_block"])
         kept = slim.withColumn("_rn", F.row_number().over(edge)).filter(F.col("_rn") <= count)
         per_block = kept.groupBy(*keys, "_block").agg(F.sort_array(F.collect_list(row)).alias("_r"))
+        per_block = dealt(per_block, keys) if grid_rows(df) else per_block
         blocks = Window.partitionBy(*keys).orderBy("_block")
         span = blocks.rowsBetween(-count, -1) if ahead else blocks.rowsBetween(1, count)
         near = per_block.select(*keys, "_block", F.flatten(F.collect_list("_r").over(span)).alias("_r"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ordered import GRID_ROWS
 from ..functions.timeparts import POSTS_PER_BAND, band, epoch_seconds, hour_start, minute_number
 
 STEPS_PER_BLOCK = 1024
@@ -27,7 +28,8 @@ def build_lattice(
     all tasks before they are expanded to single instants: a network of few
     segments with a long record still runs in parallel. Blocks meet their
     instants in a join, as Spark takes an exploded table to be no larger than
-    the one before and would broadcast the whole lattice in later joins.
+    the one before and would broadcast the whole lattice in later joins. The
+    instants carry the number of rows, by which ``dealt`` finds its tasks.
     """
     first, last = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
     span = epoch_seconds(last) - epoch_seconds(first)
@@ -36,12 +38,14 @@ def build_lattice(
     spark = segments.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     at = F.col("_b") * STEPS_PER_BLOCK + F.col("_i")
+    instant = first + F.make_dt_interval(mins=(at * step_minutes).cast("int"))
+    rows = segments.agg(F.count(F.lit(1)) * F.greatest(F.lit(0), F.first(steps))).first()[0]
     return (
         segments.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
         .repartition(tasks, *segments.columns, "_b")
         .crossJoin(spark.range(STEPS_PER_BLOCK).withColumnRenamed("id", "_i"))
         .filter(at < steps)
-        .select(*segments.columns, (first + F.make_dt_interval(mins=(at * step_minutes).cast("int"))).alias(ts))
+        .select(*segments.columns, instant.alias(ts, metadata={GRID_ROWS: rows or 0}))
     )
 
 
