@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import datetime
+import inspect
+
+import pytest
 
 from risklattice.functions.ordered import dealt_by_rows
 from risklattice.operators.windows import FeatureConfig
 from risklattice.plans import train
+from risklattice.queries import plans
 
 
 def cells(spark, posts=4, hours=200):
@@ -42,3 +46,27 @@ def test_fit_gets_rows_by_number(spark, monkeypatch):
     _, manifest = train.train_classifier(cells(spark).dropna(), CFG, CUT, ["speed_lag1", "pk_crash_rate"], fit)
     assert parts == [(-(-parts[0][1] // 100), parts[0][1])] and parts[0][0] > 5
     assert manifest.count() == 1
+
+
+def test_query_fits_the_whole_model(spark, monkeypatch, tmp_path):
+    """The registered query leaves the number of trees and their depth to the operator."""
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(i, start + datetime.timedelta(hours=(i * 7) % 720), i % 6, ("error", "purchase", "view")[i % 3], float(i % 50)) for i in range(900)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    known, fitted = plans.M.fit_gbt, []
+
+    class Stop(Exception):
+        pass
+
+    def fit_gbt(df, features, y, **options):
+        given = inspect.signature(known).bind(df, features, y, **options)
+        given.apply_defaults()
+        fitted.append({k: given.arguments[k] for k in ("trees", "depth", "step", "subsample")})
+        raise Stop
+
+    monkeypatch.setattr(plans.M, "fit_gbt", fit_gbt)
+    with pytest.raises(Stop):
+        plans.train_classifier(spark, str(tmp_path))
+    whole = {k: p.default for k, p in inspect.signature(known).parameters.items() if k in ("trees", "depth", "step", "subsample")}
+    assert fitted == [whole] and whole["trees"] >= 100 and whole["depth"] >= 5
