@@ -6,11 +6,13 @@ import datetime
 import inspect
 
 import pytest
+from pyspark.sql.readwriter import DataFrameWriter
 
 from risklattice.functions.ordered import dealt_by_rows
 from risklattice.operators.windows import FeatureConfig
 from risklattice.plans import train
 from risklattice.queries import plans
+from risklattice.session import CLEANUP, setting
 
 
 def cells(spark, posts=4, hours=200):
@@ -70,3 +72,28 @@ def test_query_fits_the_whole_model(spark, monkeypatch, tmp_path):
         plans.train_classifier(spark, str(tmp_path))
     whole = {k: p.default for k, p in inspect.signature(known).parameters.items() if k in ("trees", "depth", "step", "subsample")}
     assert fitted == [whole] and whole["trees"] >= 100 and whole["depth"] >= 5
+
+
+def test_shuffled_rows_do_not_pile_up(spark, monkeypatch):
+    """Stored tables leave no shuffle files, and the fit shuffles its rows once, not once more to number their parts."""
+    adaptive, seen, whole = "spark.sql.adaptive.enabled", [], DataFrameWriter.parquet
+    before = [spark.conf.get(k, None) for k in (CLEANUP, adaptive)]
+
+    def parquet(self, *args, **how):
+        seen.append(spark.conf.get(CLEANUP, None))
+        return whole(self, *args, **how)
+
+    def fit(rows):
+        seen.append((spark.conf.get(CLEANUP, None) != "true", spark.conf.get(adaptive)))
+        return lambda d: d.selectExpr("*", "0.5 as prob")
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    train.train_classifier(cells(spark).dropna(), CFG, CUT, ["speed_lag1"], fit)
+    assert seen == ["true", (True, "false")]
+    assert [spark.conf.get(k, None) for k in (CLEANUP, adaptive)] == before
+
+
+def test_setting_ends_with_an_error(spark):
+    with pytest.raises(ZeroDivisionError), setting(spark, CLEANUP, "true"):
+        1 / 0
+    assert spark.conf.get(CLEANUP, None) != "true"
